@@ -41,10 +41,11 @@ def add_paths(headers: DataFrame, rules: HeaderRules, line: str = "line") -> Dat
     """
     depths = sorted({d for _, d, _ in rules})
     upto = Window.partitionBy("doc_id").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    out = headers
-    for d in depths:
-        last = F.max(F.when(F.col("depth") == d, F.struct(F.col(line).alias("at"), "title")))
-        out = out.withColumn(f"__h{d}", last.over(upto))
+    last = {
+        f"__h{d}": F.max(F.when(F.col("depth") == d, F.struct(F.col(line).alias("at"), "title"))).over(upto)
+        for d in depths
+    }
+    out = headers.withColumns(last)
     parts = []
     for i, d in enumerate(depths):
         here = F.col(f"__h{d}")
