@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratatext.functions.text import BLANK_CLASS
 from stratatext.operators import bm25
 from stratatext.operators.quotes import build_quotes
+from stratatext.session import stored
 
 HEADER_RULES = [("H1", 1, "^.{1,25}$"), ("H2", 2, "^.{26,45}$"), ("H3", 3, "^.{46,65}$")]
 TYPE_RULES = [
@@ -44,9 +45,10 @@ def edition_order(col) -> "F.Column":
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
-    return build_quotes(
+    built = build_quotes(
         docs(spark, sf), HEADER_RULES, TYPE_RULES, FLAG_RULES, MIN_TOKENS, split=None, edition_spans_docs=True
     )
+    return stored(built, "quotes")
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:

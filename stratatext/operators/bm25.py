@@ -10,14 +10,14 @@ row count; beyond that the join shuffles with the frequent terms salted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
-from ..session import BROADCAST_ROW_LIMIT, is_small
+from ..session import BROADCAST_ROW_LIMIT, is_small, stored
 
 #: Scores are summed as whole multiples of 1e-12, so the sum does not depend on
 #: the order rows arrive in and equal scores stay equal after a lost executor.
@@ -65,8 +65,11 @@ def build_index(
     toks = rows.select("id", "ord", "times", T.tokens(F.col("text")).alias("toks")).select(
         "id", "ord", "times", "toks", (F.size("toks") * F.col("times")).alias("dl")
     )
+    # explode_outer plus a null test: a plain explode would make the optimizer
+    # infer "has tokens" as a filter and tokenise every text once more to test it.
     postings = (
-        toks.select("id", "ord", "dl", "times", F.explode("toks").alias("term"))
+        toks.select("id", "ord", "dl", "times", F.explode_outer("toks").alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("id", "ord", "dl", "times", "term")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("id", "ord", "term", (F.col("n") * F.col("times")).alias("tf"), "dl")
@@ -74,7 +77,9 @@ def build_index(
     lengths = toks.select("id", "dl")
     n_docs = lengths.agg(F.count(F.lit(1))).scalar()
     terms = (
-        postings.groupBy("term")
+        toks.select(F.explode_outer(F.array_distinct("toks")).alias("term"))
+        .filter(F.col("term").isNotNull())
+        .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
@@ -176,6 +181,12 @@ def bm25_search(
     return top_k(best.join(allowed, "id", "left_semi"), top)
 
 
+def stored_index(index: KeywordIndex) -> KeywordIndex:
+    """Write the index once to the shared folder and search it from there."""
+    return replace(index, postings=stored(index.postings, "postings"), terms=stored(index.terms, "terms"),
+                   lengths=stored(index.lengths, "lengths"))
+
+
 def save_index(index: KeywordIndex, path: str) -> None:
     """Write postings, terms and lengths as parquet tables."""
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")

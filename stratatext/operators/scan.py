@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def range_bounds(df: DataFrame, key: str, ranges: int = 64) -> list:
     """At most ``ranges - 1`` cut points that split ``key`` into even ranges."""
@@ -45,10 +47,13 @@ def sequence_in_groups(
     local = Window.partitionBy(doc, *group).orderBy(*order)
     numbered = df.withColumn("__n", F.row_number().over(local)).withColumn("__g", key)
 
-    counts = (
+    # The counts feed both steps of the prefix sum: written once, they do not
+    # recompute the wide rows twice.
+    counts = stored(
         df.groupBy(doc, *group)
         .agg(F.count(F.lit(1)).alias("__c"))
-        .select(doc, key.alias("__g"), "__c", range_of(F.col(doc), bounds).alias("__r"))
+        .select(doc, key.alias("__g"), "__c", range_of(F.col(doc), bounds).alias("__r")),
+        "counts",
     )
     per_range = counts.groupBy("__g", "__r").agg(F.sum("__c").alias("__rc"))
     ahead = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)

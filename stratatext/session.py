@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +30,36 @@ def build_session(app: str = "stratatext", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local-master session without that setting gets a private folder; a cluster
-    session without it is an error, because executors could not share it.
+    Only a local-master session without that setting gets a private folder; a
+    cluster session without it is an error, because executors could not share it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folder
+
+
+_local_folder: str | None = None
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage at a table written to the shared folder and read back.
+
+    Used where one result feeds several branches of a plan: it is computed once
+    and survives lost executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
