@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import values as V
+from ..functions import classify as CL
 from ..functions import editions as E
+from ..operators import bm25 as B
+from ..operators import fusion as FU
+from ..operators import policy as P
+from ..operators import vectors as VS
+from ..session import stored
 
 
 def normalise_hits(hits: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -48,3 +55,98 @@ def safe_hits(hits: DataFrame, preview_chars: int | None = None) -> DataFrame:
 
 def edition_sort(hits: DataFrame, editions: list) -> DataFrame:
     return hits.withColumn("sort_key", E.sort_key(F.col("edition_id"), editions))
+
+
+def retrieve(
+    queries: DataFrame,
+    corpus: DataFrame,
+    index,
+    top: int = 8,
+    vector_corpus: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+    editions: list = V.EDITIONS,
+    policy: dict = V.POLICY,
+    alpha: float = V.ALPHA,
+    rrf_k: int = V.RRF_K,
+    score_threshold: float = V.SCORE_THRESHOLD,
+    required: DataFrame | None = None,
+) -> DataFrame:
+    """Whole retrieval for a table of queries.
+
+    ``queries(query_id, text, intent, edition_hint)`` pass the policy layer, are
+    searched per fallback stage (keyword side, and vector side when vectors are
+    given), fused by reciprocal rank, cut to the first adequate stage, repaired
+    so that compared editions are covered, and ordered by intent.  ``corpus`` is
+    ``(id, ord, edition_id, ...)``.  ``required(query_id, edition_id, ord)``
+    defaults to the editions named in the text of evolution queries.
+    """
+    side_k = max(2 * top, 10)
+    base = queries
+    if "edition_hint" not in base.columns:
+        base = base.withColumn("edition_hint", F.lit(None).cast("string"))
+    asked = stored(CL.resolve_edition_hint(CL.apply_policy(base, policy), editions), "queries")
+    stages = P.stages_of(asked)
+    edition_of = corpus.select("id", "edition_id")
+    if required is None:
+        required = (
+            asked.filter(F.col("intent") == "evolution_comparison")
+            .select("query_id", F.posexplode(E.hints_in(F.col("text"), editions)).alias("ord", "edition_id"))
+        )
+    # Compared editions are searched as extra stages (numbers from -1 down).
+    wanted = required.select(
+        "query_id", (-1 - F.col("ord")).alias("stage"), "edition_id"
+    )
+    searched = stages.select("query_id", "stage", "edition_id").unionByName(wanted)
+
+    scored = B.scores(index, asked.select("query_id", "text")).join(edition_of, "id")
+    by_stage = Window.partitionBy("query_id", "stage")
+    keyword = (
+        P.candidates_by_stage(scored, searched)
+        .withColumn("rank", F.row_number().over(by_stage.orderBy(F.desc("score"), "ord")))
+        .filter(F.col("rank") <= side_k)
+        .select("query_id", "stage", "id", "rank")
+    )
+    if vector_corpus is not None:
+        vector = _vector_by_stage(
+            vector_corpus, query_vectors, searched, side_k, score_threshold, [e for e, *_ in editions]
+        )
+    else:
+        vector = keyword.limit(0)
+    fused = stored(
+        FU.rrf_fusion(vector, keyword, alpha, rrf_k, top, by=["query_id", "stage"]).join(edition_of, "id"), "fused"
+    )
+    hits = P.choose_stage(fused.filter("stage >= 0"), stages)
+    best = fused.filter((F.col("stage") < 0) & (F.col("rank") == 1)).select("query_id", "id", "edition_id")
+    covered = P.ensure_coverage(hits, best, required, top)
+    scores = fused.groupBy("query_id", "id").agg(
+        F.max(F.when(F.col("stage") >= 0, F.col("score"))).alias("s1"), F.max("score").alias("s2"), F.max("source").alias("source")
+    )
+    shaped = (
+        covered.join(scores, ["query_id", "id"])
+        .withColumn("score", F.coalesce("s1", "s2"))
+        .drop("s1", "s2")
+        .join(asked.select("query_id", "intent", "edition_hint", "latest_first"), "query_id")
+        .withColumn("sort_key", E.sort_key(F.col("edition_id"), editions))
+    )
+    return FU.order_by_intent(shaped).select("query_id", "rank", "id", "edition_id", "score", "source", "intent")
+
+
+def _vector_by_stage(
+    corpus: DataFrame, query_vectors: DataFrame, searched: DataFrame, k: int, threshold: float, editions: list[str]
+) -> DataFrame:
+    """Vector hits per (query, stage): one search per edition in use, one over all."""
+    open_ = searched.filter(F.col("edition_id").isNull()).select("query_id", "stage")
+    parts = [VS.vector_search(corpus, query_vectors.join(open_, "query_id", "left_semi"), k, threshold).join(open_, "query_id")]
+    used = {r["edition_id"] for r in searched.select("edition_id").distinct().filter("edition_id is not null").limit(len(editions)).collect()}
+    for edition in editions:
+        if edition not in used:
+            continue
+        mine = searched.filter(F.col("edition_id") == edition).select("query_id", "stage")
+        found = VS.vector_search(
+            corpus, query_vectors.join(mine, "query_id", "left_semi"), k, threshold, F.col("edition_id") == edition
+        )
+        parts.append(found.join(mine, "query_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("query_id", "stage", "id", "rank")
