@@ -338,7 +338,7 @@ def temporal_warnings(spark, sf):
 
 @query("comparison_sets", sql(
     """, m AS (SELECT query_id, min(concept_id) AS concept_id FROM cq, concepts WHERE contains(lower(text), lower(name_ko)) OR contains(lower(text), lower(name_en)) OR contains(lower(text), lower(concept_id)) GROUP BY 1),
-     g AS (SELECT query_id, edition_id, sort_key, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY sort_key) AS ord FROM hits GROUP BY ALL)
+     g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sort_key) AS ord FROM (SELECT query_id, edition_id, sort_key, count(*) AS n FROM hits GROUP BY ALL))
      SELECT cq.query_id, coalesce((SELECT count(*) FROM g WHERE g.query_id = cq.query_id AND ord <= 4), 0) AS edition_count, coalesce((SELECT count(*) FROM hits h WHERE h.query_id = cq.query_id), 0) AS total_hits,
        (SELECT string_agg(edition_id || '=' || n, ',' ORDER BY ord) FROM g WHERE g.query_id = cq.query_id AND ord <= 4) AS groups, m.concept_id FROM cq LEFT JOIN m USING (query_id)""", "hits", "cq", "concepts"))
 def comparison_sets(spark, sf):
