@@ -121,7 +121,7 @@ _TOKEN = r"([A-Za-z]+) (?:of|de|der|el) "
 _CT = "CASE " + " ".join(f"WHEN {' OR '.join(f'''regexp_matches(text, '{p}')''' for p in ps)} THEN '{n}'" for n, ps in _GROUPS) + " ELSE 'principle' END"
 _CS = "coalesce(" + ", ".join(f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in sorted(_WORDS, key=len, reverse=True)) + f", nullif(regexp_extract(text, '{_TOKEN}', 1), ''), '일반')"
 CTES["claims0"] = (["quotes"], r"""SELECT quote_id, doc_id, edition_id, char_start, i, trim(s, ' ' || chr(10)) AS s FROM (SELECT *, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (
-    SELECT *, string_split_regex(regexp_replace(regexp_replace(text, '\n{2,}', chr(1), 'g'), '([^0-9])\.\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM quotes))""")
+    SELECT *, string_split(replace(regexp_replace(regexp_replace(regexp_replace(trim(text, ' ' || chr(10)), '\s*\n{2,}\s*', chr(1), 'g'), '(^|[0-9]|\x01)\.(\s)', '\1' || chr(2) || '\2', 'g'), '\.\s+', chr(1), 'g'), chr(2), '.'), chr(1)) AS ss FROM quotes))""")
 CTES["claims"] = (["claims0"], f"""SELECT *, {_CT} AS claim_type, {_CS} AS subject FROM (SELECT quote_id, doc_id, any_value(edition_id) AS edition_id, string_agg(s, '. ' ORDER BY i) AS text FROM (
     SELECT *, sum(CASE WHEN length(s) < 10 AND rn > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY quote_id ORDER BY i) AS isl FROM (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY i) AS rn FROM claims0 WHERE s <> '')) GROUP BY quote_id, doc_id, isl)
     WHERE length(text) >= 20 AND NOT regexp_matches(text, '^[0-9]+[.)] *$')""")
@@ -301,7 +301,7 @@ _OK = "conv_id % 5 <> 4 AND turn % 3 <> 0"
 _CL = "CASE WHEN {ok} AND {x} > 0 THEN CAST(greatest(1, least(5, {x})) AS DOUBLE) ELSE 0.0 END"
 
 
-@query("judge_scores", sql(f"""SELECT id, {_CL.format(ok=_OK, x='a')} AS relevance, {_CL.format(ok=_OK, x='b')} AS faithfulness, CASE WHEN {_OK} THEN 4.5 ELSE 0.0 END AS quote_accuracy, CAST(0.0 AS DOUBLE) AS temporal_correctness, NOT ({_OK}) AS unreadable, false AS passed FROM replies""", "replies"))
+@query("judge_scores", sql(f"""SELECT id, {_CL.format(ok=_OK, x='a')} AS relevance, {_CL.format(ok=_OK, x='b')} AS faithfulness, CAST(CASE WHEN {_OK} THEN 4.5 ELSE 0.0 END AS DOUBLE) AS quote_accuracy, CAST(0.0 AS DOUBLE) AS temporal_correctness, NOT ({_OK}) AS unreadable, false AS passed FROM replies""", "replies"))
 def judge_scores(spark, sf):
     out = replies(spark, sf).select("id", CL.judge_scores(F.col("reply")).alias("s"))
     return out.select("id", "s.*", CL.judge_passed(F.col("s")).alias("passed"))
