@@ -39,22 +39,14 @@ def sequence_in_groups(
     """1-based number of each row within ``group`` in (``doc``, ``order``) order.
 
     ``doc`` must be the column the rows are already clustered by (all rows of one
-    document come from one input row), so the wide rows are not shuffled again:
-    only the per-document counts move, and they come back as one small map per
-    document.
+    document come from one input row).  Rows get their number inside the document
+    and are written once; the prefix sum then reads only (document, group, count)
+    from that table, and every document's offsets come back as one small map.
     """
     key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
     local = Window.partitionBy(doc, *group).orderBy(*order)
-    numbered = df.withColumn("__n", F.row_number().over(local)).withColumn("__g", key)
-
-    # The counts feed both steps of the prefix sum: written once, they do not
-    # recompute the wide rows twice.
-    counts = stored(
-        df.groupBy(doc, *group)
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .select(doc, key.alias("__g"), "__c", range_of(F.col(doc), bounds).alias("__r")),
-        "counts",
-    )
+    numbered = stored(df.withColumn("__n", F.row_number().over(local)).withColumn("__g", key), "numbered")
+    counts = numbered.groupBy(doc, "__g").agg(F.max("__n").alias("__c")).withColumn("__r", range_of(F.col(doc), bounds))
     per_range = counts.groupBy("__g", "__r").agg(F.sum("__c").alias("__rc"))
     ahead = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     range_offset = per_range.select(
