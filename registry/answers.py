@@ -12,6 +12,7 @@ from stratatext.operators import evidence as EV
 from stratatext.operators import headers as H
 from stratatext.operators import ingest as IN
 from stratatext.operators import quality as QL
+from stratatext.session import spread
 
 from . import common as C
 from .common import CTES, sql
@@ -40,7 +41,8 @@ CTES["contexts"] = (["answers"], """SELECT a.answer_id, a.turn - c.turn AS ctx_n
 
 def answers(spark, sf):
     mark = F.element_at(F.array(*[F.lit(m) for m in _MARK]), ((F.col("conv_id") + F.col("turn")) % len(_MARK)).cast("int") + 1)
-    return C.read(spark, sf, "conversations").filter("role = 'assistant'").select(
+    turns = spread(C.read(spark, sf, "conversations").filter("role = 'assistant'"), "conv_id", "turn")
+    return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn",
         F.concat("text", F.lit(" "), mark, F.lit(" 2020-14차|a|b|"), (F.col("conv_id") % 3).cast("string"), F.lit(" (Ref: r"), F.col("turn").cast("string"),
                  F.lit(") (Ref: r"), F.col("conv_id").cast("string"), F.lit(")")).alias("answer"))

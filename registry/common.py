@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratatext.functions.text import BLANK_CLASS
 from stratatext.operators import bm25
 from stratatext.operators.quotes import build_quotes
-from stratatext.session import stored
+from stratatext.session import spread, stored
 
 HEADER_RULES = [("H1", 1, "^.{1,25}$"), ("H2", 2, "^.{26,45}$"), ("H3", 3, "^.{46,65}$")]
 TYPE_RULES = [
@@ -37,7 +37,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.col("source").alias("edition_id"), "text")
+    return spread(read(spark, sf, "documents").select("doc_id", F.col("source").alias("edition_id"), "text"), "doc_id")
 
 
 def edition_order(col) -> "F.Column":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratatext.operators import bm25, lookup, metrics
 from stratatext.operators import textjoin as TJ
-from stratatext.session import shared_folder
+from stratatext.session import shared_folder, spread
 from stratatext.streaming import jobs as ST
 
 from . import common as C
@@ -134,12 +134,12 @@ def token_costs(spark, sf):
 @query("passages_in_documents", sql("SELECT b.item_id, d.doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)"))
 def passages_in_documents(spark, sf):
     b = C.read(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return TJ.passage_join(C.read(spark, sf, "documents").select("doc_id", "text"), "text", b, "passage").select("item_id", "doc_id")
+    return TJ.passage_join(C.docs(spark, sf), "text", b, "passage").select("item_id", "doc_id")
 
 
 @query("passage_lookup", sql("""SELECT query_id, CAST(rank AS INT) AS rank, id FROM (SELECT b.item_id AS query_id, d.doc_id AS id, row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text) DESC, d.doc_id) AS rank FROM benchmark b, documents d WHERE contains(d.text, b.text)) WHERE rank <= 3"""))
 def passage_lookup(spark, sf):
-    return lookup.exact_passages(C.document_corpus(spark, sf), C.benchmark_queries(spark, sf), 3).select("query_id", "rank", "id")
+    return lookup.exact_passages(spread(C.document_corpus(spark, sf), "id"), C.benchmark_queries(spark, sf), 3).select("query_id", "rank", "id")
 
 
 @query("passage_lookup_fuzzy")

@@ -167,7 +167,8 @@ _CASCADE = """, st AS (SELECT query_id, unnest(range(len(ch))) AS stage, unnest(
 def edition_fallback(spark, sf):
     corpus = C.quote_corpus(C.quotes(spark, sf))
     asked = CL.resolve_edition_hint(CL.apply_policy(intents(spark, sf), POLICY), EDS)
-    scored = bm25.scores(bm25.build_index(corpus), asked.select("query_id", "text")).join(corpus.select("id", "edition_id"), "id")
+    index = bm25.build_index(corpus, carry=["edition_id"])
+    scored = bm25.scores(index, asked.select("query_id", "text"))
     return policy.fallback_search(scored, asked, 6).select("query_id", "stage", "id", "rank")
 
 
@@ -177,7 +178,7 @@ def edition_fallback(spark, sf):
       SELECT query_id, id, edition_id, round(0.4::DOUBLE / (60 + rank), 9) AS score, intent, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE intent WHEN 'specific_time' THEN 0 WHEN 'evolution_comparison' THEN sk ELSE -sk END, rank) AS INT) AS rank FROM o""", "d_scores", "csrc", "qsrc"))
 def retrieve_quotes(spark, sf):
     corpus = C.document_corpus(spark, sf)
-    hits = RT.retrieve(intents(spark, sf), corpus, bm25.build_index(corpus), 6, editions=EDS, policy=POLICY)
+    hits = RT.retrieve(intents(spark, sf), corpus, bm25.build_index(corpus, carry=["edition_id"]), 6, editions=EDS, policy=POLICY)
     return hits.select("query_id", "id", "edition_id", F.round("score", 9).alias("score"), "intent", "rank")
 
 
@@ -191,14 +192,14 @@ def retrieve_hybrid(spark, sf):
     asked = intents(spark, sf)
     need = asked.filter("intent = 'evolution_comparison'").select(
         "query_id", F.posexplode(F.array(*[F.concat(F.lit("src"), ((F.col("query_id") * k + k) % 20).cast("string")) for k in (1, 3)])).alias("ord", "edition_id"))
-    hits = RT.retrieve(asked, corpus, bm25.build_index(corpus), 6, vec, vector_queries(spark, sf), EDS, POLICY, score_threshold=0.1, required=need)
+    hits = RT.retrieve(asked, corpus, bm25.build_index(corpus, carry=["edition_id"]), 6, vec, vector_queries(spark, sf), EDS, POLICY, score_threshold=0.1, required=need)
     return hits.select("query_id", "rank", "id", "edition_id", F.round("score", 9).alias("score"), "source", "intent")
 
 
 @query("coverage_repair")
 def coverage_repair(spark, sf):
     corpus = C.document_corpus(spark, sf)
-    scored = bm25.scores(bm25.build_index(corpus), C.benchmark_queries(spark, sf)).join(corpus.select("id", "edition_id"), "id")
+    scored = bm25.scores(bm25.build_index(corpus, carry=["edition_id"]), C.benchmark_queries(spark, sf))
     scored = stored(scored, "scores")
     hits = bm25.top_k(scored, 5)
     from pyspark.sql import Window

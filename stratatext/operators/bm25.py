@@ -27,7 +27,7 @@ SALTS = 32
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(id, ord, term, tf, dl), terms(term, df, idf), lengths(id, dl)."""
+    """postings(id, ord, carried columns, term, tf, dl), terms(term, df, idf), lengths(id, dl)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -36,6 +36,11 @@ class KeywordIndex:
     b: float = V.BM25_B
     epsilon: float = V.BM25_EPSILON
 
+    @property
+    def keys(self) -> list[str]:
+        """Columns that identify a document and travel with its scores."""
+        return [c for c in self.postings.columns if c not in ("term", "tf", "dl")]
+
     def mean_length(self) -> Column:
         return self.lengths.agg(F.avg("dl")).scalar()
 
@@ -54,25 +59,28 @@ def boost_repeats(kind: Column, boosts: dict[str, float], rounding: str = "floor
 
 def build_index(
     corpus: DataFrame, repeats: Column | None = None, k1: float = V.BM25_K1, b: float = V.BM25_B,
-    epsilon: float = V.BM25_EPSILON,
+    epsilon: float = V.BM25_EPSILON, carry: list[str] | None = None,
 ) -> KeywordIndex:
     """Index a corpus ``(id, ord, text)``; ``ord`` breaks score ties (corpus order).
 
-    ``repeats`` multiplies every token of a row (type boost).
+    ``repeats`` multiplies every token of a row (type boost).  ``carry`` names
+    small columns (an edition, say) kept next to the id, so that scores can be
+    filtered by them without a join.
     """
+    keys = ["id", "ord", *(carry or [])]
     times = repeats if repeats is not None else F.lit(1)
-    rows = corpus.select("id", "ord", "text", times.alias("times")).repartition("id")
-    toks = rows.select("id", "ord", "times", T.tokens(F.col("text")).alias("toks")).select(
-        "id", "ord", "times", "toks", (F.size("toks") * F.col("times")).alias("dl")
+    rows = corpus.select(*keys, "text", times.alias("times")).repartition("id")
+    toks = rows.select(*keys, "times", T.tokens(F.col("text")).alias("toks")).select(
+        *keys, "times", "toks", (F.size("toks") * F.col("times")).alias("dl")
     )
     # explode_outer plus a null test: a plain explode would make the optimizer
     # infer "has tokens" as a filter and tokenise every text once more to test it.
     postings = (
-        toks.select("id", "ord", "dl", "times", F.explode_outer("toks").alias("term"))
+        toks.select(*keys, "dl", "times", F.explode_outer("toks").alias("term"))
         .filter(F.col("term").isNotNull())
-        .groupBy("id", "ord", "dl", "times", "term")
+        .groupBy(*keys, "dl", "times", "term")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("id", "ord", "term", (F.col("n") * F.col("times")).alias("tf"), "dl")
+        .select(*keys, "term", (F.col("n") * F.col("times")).alias("tf"), "dl")
     )
     lengths = toks.select("id", "dl")
     n_docs = lengths.agg(F.count(F.lit(1))).scalar()
@@ -144,11 +152,11 @@ def scores(index: KeywordIndex, queries: DataFrame, candidates: DataFrame | None
     gain = F.col("weight") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)
     return (
         _join_on_terms(postings, wanted, small, salts)
-        .select("query_id", "id", "ord", F.round(gain * FIXED_POINT).cast("long").alias("part"))
-        .groupBy("query_id", "id", "ord")
+        .select("query_id", *index.keys, F.round(gain * FIXED_POINT).cast("long").alias("part"))
+        .groupBy("query_id", *index.keys)
         .agg(F.sum("part").alias("total"))
         .filter("total > 0")
-        .select("query_id", "id", "ord", (F.col("total") / FIXED_POINT).alias("score"))
+        .select("query_id", *index.keys, (F.col("total") / FIXED_POINT).alias("score"))
     )
 
 

@@ -107,19 +107,30 @@ def sentences(text: Column) -> Column:
 def ground_sentences(answers: DataFrame, contexts: DataFrame, min_chars: int = V.MIN_SHARED_CHARS) -> DataFrame:
     """Sentences of each answer with the first context they share ``min_chars`` characters with.
 
-    Two texts share a substring of n characters exactly when they share an
-    n-gram, so grounding is an equi-join on (answer, n-gram) after blanks are
-    squeezed.  Contexts are ``(answer_id, ctx_no, quote_id, text)``.
+    Two texts share a substring of n characters exactly when one of the
+    sentence's n-grams occurs in the context (blanks squeezed in both).  Contexts
+    ``(answer_id, ctx_no, quote_id, text)`` meet their answer in an equi-join; each
+    (answer, context) row tests its sentences and stops at the first n-gram found,
+    so no n-gram is ever shuffled and no answer's contexts are gathered.
     """
-    sents = answers.select("answer_id", F.posexplode(sentences(F.col("answer"))).alias("sentence_no", "sentence"))
-    grams = sents.select("answer_id", "sentence_no", F.explode(T.ngrams(T.squash(F.col("sentence")), min_chars)).alias("gram"))
-    held = contexts.select(
-        "answer_id", F.explode(T.ngrams(T.squash(F.col("text")), min_chars)).alias("gram"), F.struct("ctx_no", "quote_id").alias("ctx")
+    split = answers.select("answer_id", sentences(F.col("answer")).alias("sentences"))
+    held = contexts.select("answer_id", "ctx_no", "quote_id", T.squash(F.col("text")).alias("ctx_text"))
+
+    def occurs(sentence: Column) -> Column:
+        def any_gram(s: Column) -> Column:
+            last = F.length(s) - (min_chars - 1)
+            at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+            return F.exists(at, lambda i: F.contains(F.col("ctx_text"), s.substr(i, F.lit(min_chars))))
+
+        return T.let(T.squash(sentence), any_gram)
+
+    tested = split.join(held, "answer_id").select(
+        "answer_id", F.struct("ctx_no", "quote_id").alias("ctx"),
+        F.posexplode(F.transform("sentences", occurs)).alias("sentence_no", "found"),
     )
-    # One row per (answer, n-gram): the first context that holds it.
-    first = held.groupBy("answer_id", "gram").agg(F.min("ctx").alias("ctx"))
-    found = grams.join(first, ["answer_id", "gram"]).groupBy("answer_id", "sentence_no").agg(F.min("ctx").alias("ctx"))
-    return sents.join(found, ["answer_id", "sentence_no"], "left").select(
+    first = tested.filter("found").groupBy("answer_id", "sentence_no").agg(F.min("ctx").alias("ctx"))
+    sents = split.select("answer_id", F.posexplode("sentences").alias("sentence_no", "sentence"))
+    return sents.join(first, ["answer_id", "sentence_no"], "left").select(
         "answer_id", "sentence_no", "sentence", F.col("ctx").isNotNull().alias("grounded"), F.col("ctx.quote_id").alias("quote_id")
     )
 

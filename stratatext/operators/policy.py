@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def stages_of(queries: DataFrame) -> DataFrame:
     """(query_id, stage, edition_id, last, min_hits): primary, fallbacks, then everything.
@@ -25,12 +27,12 @@ def stages_of(queries: DataFrame) -> DataFrame:
 def candidates_by_stage(scored: DataFrame, stages: DataFrame) -> DataFrame:
     """Scored rows ``(query_id, id, edition_id, ...)`` repeated for every stage that admits them.
 
-    Two equi-joins: stages bound to an edition on (query, edition), open stages
-    on the query alone.
+    One pass over the scores: stages meet them on the query, and a stage bound to
+    an edition admits only that edition.
     """
-    bound = stages.filter(F.col("edition_id").isNotNull()).select("query_id", "edition_id", "stage")
-    open_ = stages.filter(F.col("edition_id").isNull()).select("query_id", "stage")
-    return scored.join(bound, ["query_id", "edition_id"]).unionByName(scored.join(open_, "query_id"))
+    few = broadcast_if_small(stages.select("query_id", "stage", F.col("edition_id").alias("__only")))
+    admitted = F.col("__only").isNull() | (F.col("__only") == F.col("edition_id"))
+    return scored.join(few, "query_id").filter(admitted).drop("__only")
 
 
 def choose_stage(stage_hits: DataFrame, stages: DataFrame) -> DataFrame:

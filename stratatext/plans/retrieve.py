@@ -77,7 +77,7 @@ def retrieve(
     searched per fallback stage (keyword side, and vector side when vectors are
     given), fused by reciprocal rank, cut to the first adequate stage, repaired
     so that compared editions are covered, and ordered by intent.  ``corpus`` is
-    ``(id, ord, edition_id, ...)``.  ``required(query_id, edition_id, ord)``
+    ``(id, ord, edition_id, ...)``; an index that carries ``edition_id`` saves a join.  ``required(query_id, edition_id, ord)``
     defaults to the editions named in the text of evolution queries.
     """
     side_k = max(2 * top, 10)
@@ -98,7 +98,9 @@ def retrieve(
     )
     searched = stages.select("query_id", "stage", "edition_id").unionByName(wanted)
 
-    scored = B.scores(index, asked.select("query_id", "text")).join(edition_of, "id")
+    scored = B.scores(index, asked.select("query_id", "text"))
+    if "edition_id" not in index.keys:
+        scored = scored.join(edition_of, "id")
     by_stage = Window.partitionBy("query_id", "stage")
     keyword = (
         P.candidates_by_stage(scored, searched)

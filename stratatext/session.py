@@ -70,3 +70,15 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast hint behind a row check; a larger side is left to shuffle."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that has fewer input splits than the cluster has cores.
+
+    A table stored as a few large row groups would otherwise be worked on by a
+    few tasks.  Scans with enough splits are returned as they are: no shuffle.
+    The keys together must be (nearly) unique, so that no task gets a hot one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
+    return df.repartition(*keys) if splits < cores else df
