@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stratatext.operators import bm25, lookup, metrics
+from stratatext.operators import headers as H
 from stratatext.operators import textjoin as TJ
 from stratatext.session import shared_folder, spread
 from stratatext.streaming import jobs as ST
@@ -156,6 +157,15 @@ def section_expansion(spark, sf):
     return lookup.expand_section(C.quotes(spark, sf), "The", C.edition_order("edition_id")).select("quote_id")
 
 
+@query("section_by_title", sql("""SELECT query_id, CAST(how AS INT) AS how, doc_id, CAST(line AS INT) AS line FROM (SELECT d.doc_id AS query_id, CASE WHEN t.title = d.w THEN 1 ELSE 2 END AS how, t.doc_id, t.line,
+     row_number() OVER (PARTITION BY d.doc_id ORDER BY CASE WHEN t.title = d.w THEN 1 ELSE 2 END, t.doc_id, t.line) AS r
+   FROM (SELECT doc_id, edition_id, regexp_extract(text, '[A-Z][a-z]{3,}[.]?', 0) AS w FROM docs) d JOIN tocb t ON t.edition_id = d.edition_id AND d.w <> '' AND contains(lower(t.title), lower(d.w))) WHERE r = 1""", "docs", "tocb"))
+def section_by_title(spark, sf):
+    d = C.docs(spark, sf)
+    asked = d.select(F.col("doc_id").alias("query_id"), "edition_id", F.regexp_extract("text", "[A-Z][a-z]{3,}[.]?", 0).alias("title")).filter("title <> ''")
+    return lookup.section_by_title(H.toc(d, C.HEADER_RULES).filter("level <> 'H0'"), asked)
+
+
 # Canonical subjects and synonym terms come from part names, queries from names with added words.
 CTES["items"] = ([], "SELECT p_partkey AS item_id, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || p_type END AS subject FROM part")
 CTES["asks"] = ([], "SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'about ' || p_name || ' ' || p_type ELSE 'my ' || split_part(p_name, ' ', 2) || ' and ' || p_type END AS text FROM part")
