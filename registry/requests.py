@@ -207,14 +207,12 @@ def canonical_items(spark, sf):
     return out.withColumn("quote_ids", F.array_join("quote_ids", ","))
 
 
-CTES["clusters"] = ([], "SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS cluster_ord, name, list_sort(list(DISTINCT term)) AS terms FROM (SELECT p_brand AS name, replace(p_name, ' ', '-') AS term FROM part) GROUP BY name")
+CTES["clusters"] = ([], "SELECT CAST(regexp_extract(name, '([0-9]+)', 1) AS INT) AS cluster_ord, name, list_sort(list(DISTINCT term)) AS terms FROM (SELECT p_brand AS name, replace(p_name, ' ', '-') AS term FROM part) GROUP BY name")
 
 
 def clusters(spark, sf):
-    from pyspark.sql import Window
-
     rows = C.read(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.array_sort(F.collect_set(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("terms"))
-    return rows.withColumn("cluster_ord", F.row_number().over(Window.orderBy("name")))  # one row per brand, a fixed small number
+    return rows.withColumn("cluster_ord", F.regexp_extract("name", "([0-9]+)", 1).cast("int"))
 
 
 @query("synonym_stats", sql("SELECT count(*) AS clusters, CAST(sum(len(terms) * (len(terms) - 1) // 2) AS BIGINT) AS pairs, (SELECT count(DISTINCT replace(lower(t), '-', '')) FROM (SELECT unnest(terms) AS t FROM clusters)) AS terms FROM clusters", "clusters"))

@@ -204,33 +204,31 @@ def section_text(docs: DataFrame, starts: DataFrame, rules: HeaderRules = V.HEAD
     """Text from each ``(doc_id, line)`` to the next header or the document end.
 
     At most ``max_lines`` lines; the start line is included, the last line of an
-    unfollowed section is not (the end bound is exclusive).
+    unfollowed section is not (the end bound is exclusive).  The next header comes
+    from one window per document over header and start lines; the text is cut in
+    the row that holds it.
     """
     first = F.col("start_line") if "start_line" in docs.columns else F.lit(1)
-    wanted = starts.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
+    heads = header_rows(docs, rules).select("doc_id", F.col("line").cast("int").alias("line"), F.lit(True).alias("is_head"))
+    points = heads.unionByName(starts.select("doc_id", F.col("line").cast("int").alias("line"), F.lit(False).alias("is_head")).distinct())
+    later = Window.partitionBy("doc_id").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    wanted = (
+        points.withColumn("next", F.min(F.when(F.col("is_head"), F.col("line"))).over(later))
+        .filter(~F.col("is_head"))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("line", "next")).alias("wanted"))
+    )
 
     def cut(lines):
-        heads = F.filter(
-            F.transform(
-                lines,
-                lambda raw, i: F.when(level_of(T.strip(raw), rules).isNotNull(), i + first),
-            ),
-            lambda x: x.isNotNull(),
-        )
-
-        def one(hs):
-            def from_line(line):
-                later = F.array_min(F.filter(hs, lambda h: h > line))
-                stop = F.coalesce(later, F.size(lines) + first - 1)
-                n = F.least(stop - line, F.lit(max_lines))
-                body = F.when(
-                    n > 0, F.array_join(F.slice(lines, F.greatest(line - first + 1, F.lit(1)), n), "")
-                ).otherwise("")
-                return F.struct(line.alias("line"), T.strip(body).alias("section_text"))
-
-            return F.transform(F.col("wanted"), from_line)
-
-        return T.let(heads, one)
+        def from_line(w):
+            stop = F.coalesce(w["next"], F.size(lines) + first - 1)
+            n = F.least(stop - w["line"], F.lit(max_lines))
+            body = F.when(
+                n > 0, F.array_join(F.slice(lines, F.greatest(w["line"] - first + 1, F.lit(1)), n), "")
+            ).otherwise("")
+            return F.struct(w["line"].alias("line"), T.strip(body).alias("section_text"))
+
+        return F.transform(F.col("wanted"), from_line)
 
     return (
         docs.join(wanted, "doc_id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def new_rows(incoming: DataFrame, table: DataFrame | None, order: list[str], id_col: str = "quote_id", hash_col: str = "content_hash") -> DataFrame:
     """Incoming rows that may be inserted, by hash first and then by id.
@@ -27,49 +28,30 @@ def new_rows(incoming: DataFrame, table: DataFrame | None, order: list[str], id_
 def new_rows_greedy(incoming: DataFrame, table: DataFrame | None, order: str, id_col: str = "quote_id", hash_col: str = "content_hash") -> DataFrame:
     """The exact row-by-row rule: a row enters unless its id or hash entered before.
 
-    Equal (id, hash) pairs are cut to their first row, rows whose id and hash are
-    both unique enter at once, and only rows that share a key are walked in
-    order.  Rows linked through shared keys are brought together by spreading the
-    least row number along ids and hashes until nothing changes.
+    Sequential first-wins equals rounds of local minima: a row that comes first
+    among the undecided rows of its id and of its hash enters, and every row that
+    shares a key with an entered row is out.  Each round is two minima (combined
+    before their shuffle) and anti joins, so a hash shared by a third of all rows
+    never gathers anywhere.  ``order`` must be unique.
     """
-    from ..session import stored
-
     rows = incoming
     if table is not None:
         rows = rows.join(table.select(hash_col), hash_col, "left_anti").join(table.select(id_col), id_col, "left_anti")
-    pair = Window.partitionBy(id_col, hash_col).orderBy(order)
-    rows = stored(rows.withColumn("__rn", F.row_number().over(pair)).filter("__rn = 1").drop("__rn"), "incoming")
-    ids = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("__ni"))
-    hashes = rows.groupBy(hash_col).agg(F.count(F.lit(1)).alias("__nh"))
-    tagged = rows.join(ids, id_col).join(hashes, hash_col)
-    alone = tagged.filter("__ni = 1 AND __nh = 1").drop("__ni", "__nh")
-    keys = stored(
-        tagged.filter("__ni > 1 OR __nh > 1").select(order, id_col, hash_col, F.col(order).alias("comp")), "links"
-    )
+    rows = stored(rows, "incoming")
+    open_rows = rows.select(order, id_col, hash_col)
+    entered = None
     while True:
-        by_id = keys.groupBy(id_col).agg(F.min("comp").alias("__a"))
-        step = keys.join(by_id, id_col).drop("comp").withColumnRenamed("__a", "comp")
-        by_hash = step.groupBy(hash_col).agg(F.min("comp").alias("__b"))
-        nxt = step.join(by_hash, hash_col).withColumn("changed", F.col("__b") < F.col("comp")).drop("comp").withColumnRenamed("__b", "comp")
-        nxt = stored(nxt, "links")
-        done = nxt.filter("changed").isEmpty()
-        keys = nxt.drop("changed")
-        if done:
+        first = [open_rows.groupBy(k).agg(F.min(order).alias(order)).select(order) for k in (id_col, hash_col)]
+        firsts = first[0].join(first[1], order)
+        winners = stored(open_rows.join(firsts, order, "left_semi"), "winners")
+        entered = winners if entered is None else entered.unionByName(winners)
+        open_rows = stored(
+            open_rows.join(winners.select(id_col), id_col, "left_anti").join(winners.select(hash_col), hash_col, "left_anti"),
+            "undecided",
+        )
+        if open_rows.isEmpty():
             break
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen_ids, seen_hashes, keep = set(), set(), []
-        for row in pdf.sort_values(order).itertuples(index=False):
-            i, h = getattr(row, id_col), getattr(row, hash_col)
-            if i not in seen_ids and h not in seen_hashes:
-                seen_ids.add(i)
-                seen_hashes.add(h)
-                keep.append(getattr(row, order))
-        return pd.DataFrame({order: keep})
-
-    kind = rows.schema[order].dataType.simpleString()
-    entered = keys.groupBy("comp").applyInPandas(walk, f"{order} {kind}")
-    return alone.unionByName(rows.join(entered, order, "left_semi").select(alone.columns))
+    return rows.join(entered.select(order), order, "left_semi")
 
 
 def ingest_report(parsed: DataFrame, rejected: DataFrame, inserted: DataFrame, table_after: DataFrame, expected_min: int | None = None) -> DataFrame:

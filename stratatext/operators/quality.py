@@ -82,7 +82,7 @@ def edition_coverage(questions: DataFrame, labels: list[str] = V.COVERAGE_LABELS
         F.array_sort(F.collect_set("query_type")).alias("types"), F.array_sort(F.collect_set("difficulty")).alias("diffs"),
     )
     none = F.array().cast("array<string>")
-    return F.broadcast(dim).join(per, "edition", "left").select(
+    return dim.join(per, "edition", "left").select(
         "ord", "edition", F.coalesce("n", F.lit(0)).alias("question_count"),
         F.coalesce("types", none).alias("query_types"), F.coalesce("diffs", none).alias("difficulties"),
     )

@@ -32,23 +32,25 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return rows[keep], ids[keep], scores[keep]
 
 
-def _batch_best(q: np.ndarray, pdf: pd.DataFrame, k: int):
+def _batch_best(q: np.ndarray, pdf: pd.DataFrame, k: int, threshold: float):
     s = np.round(q @ _unit(pdf["embedding"]).T, 9)
+    keep = s >= threshold
     if s.shape[1] > k:
-        cut = np.partition(s, -k, axis=1)[:, -k]
-        rows, cols = np.nonzero(s >= cut[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
+        keep &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
+    rows, cols = np.nonzero(keep)
     return _best(rows, pdf["id"].to_numpy()[cols], s[rows, cols], k)
 
 
-def _search_batches(q_ids: np.ndarray, q: np.ndarray, batches, k: int) -> Iterator[pd.DataFrame]:
-    """Running best ``k`` per query over the batches; nothing else is kept."""
+def _search_batches(q_ids: np.ndarray, q: np.ndarray, batches, k: int, threshold: float) -> Iterator[pd.DataFrame]:
+    """Running best ``k`` per query over the batches; nothing else is kept.
+
+    Cutting at the threshold first gives the same rows as cutting after the rank.
+    """
     held = None
     for pdf in batches:
         if not len(pdf):
             continue
-        found = _batch_best(q, pdf, k)
+        found = _batch_best(q, pdf, k, threshold)
         held = found if held is None else _best(*(np.concatenate(p) for p in zip(held, found)), k)
     if held is not None:
         rows, ids, scores = held
@@ -79,12 +81,11 @@ def vector_search(
     slim = side.select("id", "embedding")
     asked = queries.select("query_id", "embedding")
     if is_small(asked, query_block):
-        found = _one_block(slim, asked, fetch)
+        found = _one_block(slim, asked, fetch, score_threshold)
     else:
-        found = _many_blocks(slim, asked, fetch, query_block, corpus_chunk)
+        found = _many_blocks(slim, asked, fetch, score_threshold, query_block, corpus_chunk)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= fetch)
-    ranked = ranked.filter(F.col("score") >= score_threshold)
     if section is not None:
         ranked = ranked.join(corpus.filter(section).select("id"), "id", "left_semi")
         ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
@@ -97,7 +98,7 @@ def _hit_schema(corpus: DataFrame, queries: DataFrame) -> str:
     return f"query_id {q_type}, id {id_type}, score double"
 
 
-def _one_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _one_block(corpus: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
     schema = _hit_schema(corpus, queries)
     block = queries.orderBy("query_id").toPandas()  # at most query_block rows, checked
     if not len(block):
@@ -105,13 +106,13 @@ def _one_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q_ids, q = block["query_id"].to_numpy(), _unit(block["embedding"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _search_batches(q_ids, q, batches, k)
+        yield from _search_batches(q_ids, q, batches, k, threshold)
 
     return corpus.mapInPandas(run, schema)
 
 
 def _many_blocks(
-    corpus: DataFrame, queries: DataFrame, k: int, query_block: int, corpus_chunk: int
+    corpus: DataFrame, queries: DataFrame, k: int, threshold: float, query_block: int, corpus_chunk: int
 ) -> DataFrame:
     blocks = -(-queries.count() // query_block)
     chunks = max(1, -(-corpus.count() // corpus_chunk))
@@ -126,7 +127,7 @@ def _many_blocks(
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         q_ids, q = asked["query_id"].to_numpy(), _unit(asked["embedding"])
-        return next(_search_batches(q_ids, q, [rows], k))
+        return next(_search_batches(q_ids, q, [rows], k, threshold))
 
     return (
         left.groupBy("chunk", "block")
