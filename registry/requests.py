@@ -31,11 +31,17 @@ def query(name: str, text: str | None = None):
 CTES["req"] = ([], "SELECT event_id, event_type AS endpoint, 'GET' AS method, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS duration_ms, epoch_us(ts) / 1000000.0::DOUBLE AS timestamp, ts, user_id FROM events")
 
 
+def as_utc(ts):
+    """Zone-less time as an instant in UTC, whatever the session's time zone is."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, ts))
+
+
 def shape(events):
     return events.select(
         "event_id", F.col("event_type").alias("endpoint"), F.lit("GET").alias("method"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"), F.col("value").alias("duration_ms"),
-        F.col("ts").cast("timestamp").alias("ts"), "user_id")
+        as_utc(F.col("ts")).alias("ts"), "user_id")
 
 
 def requests(spark, sf):
