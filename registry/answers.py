@@ -13,6 +13,7 @@ from stratatext.operators import headers as H
 from stratatext.operators import ingest as IN
 from stratatext.operators import quality as QL
 from stratatext.session import spread
+from stratatext.sources import jsonl
 
 from . import common as C
 from .common import CTES, sql
@@ -394,6 +395,30 @@ def update_delta(spark, sf):
     return IN.update_delta(tab, after, inc)
 
 
+# JSON lines made from the turns: some cut short, some blank, some without a role.
+_TURN = "query_id long, role string, text string"
+
+
+def json_lines(spark, sf):
+    k = F.col("conv_id") + F.col("turn")
+    whole = F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(k % 7 != 3, F.col("role")).alias("role"), "text"))
+    value = F.when(k % 5 == 0, F.substring(whole, 1, 15)).when(k % 11 == 0, F.lit("  ")).otherwise(whole)
+    return C.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_num"), value.alias("value"))
+
+
+@query("tolerant_scan", """SELECT conv_id * 1000 + turn AS query_id, role, sha256(text) AS text_hash FROM conversations WHERE (conv_id + turn) % 5 <> 0 AND (conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 7 <> 3""")
+def tolerant_scan(spark, sf):
+    good, _ = jsonl.parse_lines(json_lines(spark, sf), _TURN, ["query_id", "role", "text"])
+    return good.select("query_id", "role", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("tolerant_scan_errors", """SELECT conv_id * 1000 + turn AS line_num, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'unreadable JSON' ELSE 'missing: role' END AS message FROM conversations
+   WHERE (conv_id + turn) % 5 = 0 OR ((conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 7 = 3)""")
+def tolerant_scan_errors(spark, sf):
+    _, bad = jsonl.parse_lines(json_lines(spark, sf), _TURN, ["query_id", "role", "text"])
+    return bad.select("line_num", "message")
+
+
 @query("query_keys", """SELECT item_id, left(sha256('{"ef": "", "k": 5, "m": "hybrid", "q": ' || to_json(text) || ', "tf": ["definition", "principle"]}'), 32) AS key FROM benchmark""")
 def query_keys(spark, sf):
     key = ids.query_key(F.col("text"), F.lit("hybrid"), F.lit(5), F.lit(None).cast("string"), F.array(F.lit("principle"), F.lit("definition")))

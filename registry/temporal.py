@@ -273,10 +273,10 @@ def concept_evolution(spark, sf):
     return e.withColumn("history", F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["edition_id"], h["status"])), ","))
 
 
-@query("concepts_renamed_in_edition", sql("SELECT concept_id FROM concepts c WHERE last_edition IS NULL AND EXISTS (SELECT 1 FROM statuses s WHERE s.concept_id = c.concept_id AND edition_id = 'y1995' AND status IN ('modified'))", "concepts", "statuses"))
-def concepts_renamed_in_edition(spark, sf):
+@query("concepts_by_status", sql("SELECT concept_id FROM concepts c WHERE last_edition IS NULL AND EXISTS (SELECT 1 FROM statuses s WHERE s.concept_id = c.concept_id AND edition_id = 'y1995' AND status = 'maintained')", "concepts", "statuses"))
+def concepts_by_status(spark, sf):
     c, s = timeline(spark, sf)
-    return temporal.concepts_where(c, s, edition="y1995", active=True, status="modified").select("concept_id")
+    return temporal.concepts_where(c, s, edition="y1995", active=True, status="maintained").select("concept_id")
 
 
 @query("status_transitions", sql(

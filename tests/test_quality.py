@@ -155,6 +155,17 @@ def test_jsonl_policies(spark, tmp_path):
         jsonl.read_strict(spark, str(p), jsonl.QUESTION_SCHEMA).collect()
 
 
+def test_sinks_and_texts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("한 줄\n둘", encoding="utf-8")
+    docs = jsonl.read_texts(spark, str(tmp_path / "in"))
+    assert [(r["doc_id"], r["text"]) for r in docs.collect()] == [("a.txt", "한 줄\n둘")]
+    out = str(tmp_path / "out")
+    jsonl.write_records(docs.withColumn("edition_id", F.lit("e1")), out, "edition_id")
+    row = spark.read.json(out).first()
+    assert (row["edition_id"], row["text"]) == ("e1", "한 줄\n둘")
+
+
 def test_dimensions(spark):
     data = {"editions_metadata": [{"edition_id": "e1", "year": 1979}], "concepts": [{"concept_id": "c", "name_ko": "k", "editions": {"e1": {"status": "introduced"}, "e9": None}}]}
     from stratatext.operators.temporal import explode_timeline
