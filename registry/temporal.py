@@ -273,10 +273,10 @@ def concept_evolution(spark, sf):
     return e.withColumn("history", F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["edition_id"], h["status"])), ","))
 
 
-@query("concepts_by_status", sql("SELECT concept_id FROM concepts c WHERE last_edition IS NULL AND EXISTS (SELECT 1 FROM statuses s WHERE s.concept_id = c.concept_id AND edition_id = 'y1995' AND status = 'maintained')", "concepts", "statuses"))
+@query("concepts_by_status", sql("SELECT concept_id FROM concepts c WHERE last_edition IS NULL AND EXISTS (SELECT 1 FROM statuses s WHERE s.concept_id = c.concept_id AND edition_id = 'y1997' AND status = 'maintained')", "concepts", "statuses"))
 def concepts_by_status(spark, sf):
     c, s = timeline(spark, sf)
-    return temporal.concepts_where(c, s, edition="y1995", active=True, status="maintained").select("concept_id")
+    return temporal.concepts_where(c, s, edition="y1997", active=True, status="maintained").select("concept_id")
 
 
 @query("status_transitions", sql(
@@ -285,13 +285,13 @@ def status_transitions(spark, sf):
     return temporal.status_transitions(timeline(spark, sf)[1])
 
 
-CTES["cq"] = ([], "SELECT item_id AS query_id, text || ' ' || p_name AS text, CAST(1989 + item_id % 5 AS VARCHAR) || '-x' AS edition_hint FROM benchmark JOIN part ON p_partkey = item_id")
+CTES["cq"] = ([], "SELECT item_id AS query_id, text || ' ' || p_name AS text, CAST(1993 + item_id % 5 AS VARCHAR) || '-x' AS edition_hint FROM benchmark JOIN part ON p_partkey = item_id")
 
 
 def concept_queries(spark, sf):
     names = C.read(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), "p_name")
     return C.benchmark_queries(spark, sf).join(names, "query_id").select(
-        "query_id", F.concat_ws(" ", "text", "p_name").alias("text"), F.concat((F.col("query_id") % 5 + 1989).cast("string"), F.lit("-x")).alias("edition_hint"))
+        "query_id", F.concat_ws(" ", "text", "p_name").alias("text"), F.concat((F.col("query_id") % 5 + 1993).cast("string"), F.lit("-x")).alias("edition_hint"))
 
 
 @query("concepts_in_queries", sql("SELECT DISTINCT query_id, concept_id FROM cq, concepts WHERE contains(lower(text), lower(name_ko)) OR contains(lower(text), lower(name_en)) OR contains(lower(text), lower(concept_id))", "cq", "concepts"))

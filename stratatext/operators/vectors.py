@@ -14,6 +14,7 @@ from ..session import is_small
 
 #: Most query vectors sent to the tasks as one broadcast block.
 QUERY_BLOCK = 4_096
+QUERY_BLOCK_BYTES = 256 << 20
 #: Corpus rows per group when there are too many queries for one block.
 CORPUS_CHUNK = 50_000
 
@@ -80,7 +81,7 @@ def vector_search(
     fetch = 3 * top if section is not None else top
     slim = side.select("id", "embedding")
     asked = queries.select("query_id", "embedding")
-    if is_small(asked, query_block):
+    if is_small(asked, query_block, QUERY_BLOCK_BYTES):
         found = _one_block(slim, asked, fetch, score_threshold)
     else:
         found = _many_blocks(slim, asked, fetch, score_threshold, query_block, corpus_chunk)

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows above which a side is never broadcast.  Every broadcast in this package
-#: goes through :func:`broadcast_if_small`, which counts at most this many rows.
+#: Rows and bytes above which a side is never broadcast.  Every broadcast hint in
+#: this package sits behind :func:`is_small`, which reads at most one row more.
 BROADCAST_ROW_LIMIT = 20_000
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 def build_session(app: str = "stratatext", master: str | None = None, **conf) -> SparkSession:
@@ -64,13 +65,18 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """True when ``df`` has at most ``limit`` rows and about ``max_bytes`` of content.
+
+    Reads no more than ``limit + 1`` rows; content is measured as JSON text.
+    """
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    row = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return row["n"] <= limit and row["b"] <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint behind a row check; a larger side is left to shuffle."""
+    """Broadcast hint behind a size check; a larger side is left to shuffle."""
     return F.broadcast(df) if is_small(df, limit) else df
 
 
