@@ -61,6 +61,21 @@ def test_claim_sentences_have_right_offsets(spark):
     assert all(text[c["start"] : c["start"] + 3] == c["text"][:3] for c in got)
 
 
+def test_claim_positions(spark):
+    raw = "머리 글이 앞에 옵니다 그리고 길게 이어집니다.\n같은 문장은 두 번 나옵니다 정말로 두 번입니다.\n중간 글.\n같은 문장은 두 번 나옵니다 정말로 두 번입니다.\n"
+    docs = spark.createDataFrame([(1, raw)], "doc_id int, text string")
+    second = raw.rindex("같은")
+    qs = spark.createDataFrame([("q1", 1, "e", 0, raw[:second]), ("q2", 1, "e", second, raw[second:])], "quote_id string, doc_id int, edition_id string, char_start long, text string")
+    claims = EV.build_claims(qs)
+    texts = {(r["quote_id"], r["sentence_no"]): r["text"] for r in claims.collect()}
+    rows = EV.locate_claims(claims, docs).collect()
+    assert len(rows) == len(texts) == 3
+    for r in rows:
+        text = texts[(r["quote_id"], r["sentence_no"])]
+        assert raw[r["raw_start"] : r["raw_start"] + 20] == text[:20] and r["raw_end"] - r["raw_start"] == len(text)
+        assert (r["raw_start"] == second) == (r["quote_id"] == "q2")
+
+
 def test_gate_and_report(spark):
     rows = [(str(i), "definition", i < 8, True, {"relevance": 4.0}) for i in range(10)]
     r = spark.createDataFrame(rows, "id string, query_type string, passed boolean, regression_passed boolean, scores map<string,double>")
