@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratatext.llm.common import texts
+from stratatext.llm.common import small, texts
+from stratatext.llm.units import CACHE_ENTRIES, Units
 
 #: Fixed values of the byte-level pre-tokenizer: its split pattern.  White space is
 #: spelled as the Unicode property, as the library has it.
@@ -32,9 +33,6 @@ SPLIT_PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-#: Entries after which a task's table of text units starts anew.
-CACHE_ENTRIES = 400_000
-
 
 def byte_letters() -> dict[str, int]:
     """The printable letter of each byte in a byte-level vocabulary file.
@@ -178,42 +176,6 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids))
 
 
-class Units(dict):
-    """Text units to their tokens as packed integers.
-
-    A unit is what stands between two spaces, a line feed opening a new one.  Words
-    never cross from one such unit to the next if each is without white space at
-    its ends, so units are encoded alone and remembered; a text with any other unit
-    (``KeyError``) is split as a whole.
-    """
-
-    def __init__(self, encode, kind: str, limit: int = CACHE_ENTRIES):
-        super().__init__()
-        self.encode, self.kind, self.limit = encode, kind, limit
-
-    def __missing__(self, unit: str) -> bytes:
-        body = unit[1:] if unit[:1] == "\n" else unit
-        if not body or body != body.strip():
-            raise KeyError(unit)
-        if len(self) >= self.limit:
-            self.clear()
-        out = np.array(self.encode(unit if unit[0] == "\n" else " " + unit), self.kind).tobytes()
-        if len(unit) <= 64:
-            self[unit] = out
-        return out
-
-    def text(self, text: str) -> bytes:
-        """Tokens of a text without special items."""
-        head, *rest = text.replace("\n", " \n").split(" ")
-        try:
-            if not head or head[0].isspace() or head[-1].isspace():
-                raise KeyError(head)
-            tail = b"".join(map(self.__getitem__, rest))
-        except KeyError:
-            return np.array(self.encode(text), self.kind).tobytes()
-        return np.array(self.encode(head), self.kind).tobytes() + tail
-
-
 class Encoder:
     """Whole texts to packed token ids, in the smallest integer kind that holds them."""
 
@@ -222,32 +184,45 @@ class Encoder:
 
         self.automaton = Automaton(path)
         self.split = regex.compile(SPLIT_PATTERN).findall
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.kind = "<u2" if len(self.automaton.labels) <= 1 << 16 else "<u4"
-        self.units = Units(self.plain, self.kind)
-        self.between = regex.compile("(" + "|".join(map(regex.escape, self.automaton.special)) + ")") if self.automaton.special else None
-
-    def plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for w in self.split(text):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.automaton.word(w.encode())
-                if len(w) <= 32:
-                    if len(self.words) >= CACHE_ENTRIES:
-                        self.words.clear()
-                    self.words[w] = ids
-            out += ids
+        self.units = Units(self._units, self._text)
+        self.special = list(self.automaton.special)
+        self.between = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in set(words) if w not in self.words]
+        if len(self.words) + len(new) > CACHE_ENTRIES:
+            self.words, new = {}, list(set(words))
+        if new:
+            word, kind = self.automaton.word, self.kind
+            self.words.update((w, np.array(word(w.encode()), kind).tobytes()) for w in new)
+
+    def _text(self, text: str) -> bytes:
+        words = self.split(text)
+        self._learn(words)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        words = self.split("".join(units))
+        self._learn(words)
+        known, out, one = self.words, [], []
+        for w in words:
+            if w[0] in " \n" and one:
+                out.append(b"".join(one))
+                one = []
+            one.append(known[w])
+        if one:
+            out.append(b"".join(one))
         return out
 
-    def __call__(self, text: str) -> np.ndarray:
-        special = self.automaton.special
-        if any(x in text for x in special):
-            parts = self.between.split(text)
-            data = b"".join(np.array([special[p]], self.kind).tobytes() if p in special else self.units.text(p) for p in parts if p)
-        else:
-            data = self.units.text(text) if text else b""
-        return np.frombuffer(data, self.kind)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        out = self.units.texts(["" if i in set(marked) else t for i, t in enumerate(texts)] if marked else texts)
+        for i in marked:
+            parts = [p for p in self.between.split(texts[i]) if p]
+            out[i] = b"".join(np.array([self.automaton.special[p]], self.kind).tobytes() if p in self.automaton.special else self._text(p) for p in parts)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -276,14 +251,14 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        labels = encode.automaton.labels
-        for batch in batches:
+        decode = encode.automaton.decode
+        for batch in small(batches):
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column(1):
-                ids = encode(text.as_py())
+            for packed in encode(batch.column(1).to_pylist()):
+                ids = np.frombuffer(packed, encode.kind)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(labels.__getitem__, ids.tolist()))).hexdigest())
+                text_sha.append(hashlib.sha256(decode(ids.tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=schema
             )
@@ -297,13 +272,11 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # token lists are several times their text
-                part = batch.slice(start, 256)
-                ids = [encode(t.as_py()).astype(np.int32) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], schema=schema
-                )
+        for batch in small(batches):
+            ids = [np.frombuffer(x, encode.kind).astype(np.int32) for x in encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], schema=schema
+            )
 
     return texts(docs).mapInArrow(run, TOKENS)
 

@@ -57,6 +57,18 @@ def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def small(batches, rows: int = 512, size: int = 4 << 20):
+    """Arrow batches cut to at most ``rows`` rows and about ``size`` bytes of text (column 1)."""
+    for batch in batches:
+        begin = 0
+        while begin < batch.num_rows:
+            n = min(rows, batch.num_rows - begin)
+            while n > 1 and batch.column(1).slice(begin, n).nbytes > size:
+                n //= 2
+            yield batch.slice(begin, n)
+            begin += n
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe
+from stratatext.llm import bpe, rans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Id appended to each document, and the size of the vocabulary.
+END_ID, VOCABULARY = 2, 50257
+
+
+@query
+def op3_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"), rans.library_encoder(vocabulary()), VOCABULARY, END_ID)
+
+
 @query
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
