@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratatext.llm.common import small, texts
+from stratatext.llm.common import per_process, small, texts
 from stratatext.llm.units import CACHE_ENTRIES, Units
 
 #: Fixed values of the byte-level pre-tokenizer: its split pattern.  White space is
@@ -225,14 +225,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, compiled once per process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return per_process(("encoder", path), lambda: Encoder(path))
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

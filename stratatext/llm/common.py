@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -19,6 +21,18 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
 
+def per_process(key, make):
+    """``make()``, kept for all later tasks of this worker process.
+
+    The package's functions travel by value, so their module's variables are new in
+    each task; a module of this process holds what is to last.
+    """
+    held = sys.modules.setdefault("_stratatext_process", types.ModuleType("_stratatext_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

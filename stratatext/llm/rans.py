@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratatext.llm.common import drop, file_system, new_path, save, small, texts
+from stratatext.llm.common import drop, file_system, new_path, per_process, save, small, texts
 from stratatext.llm.units import Units
 
 MAGIC = b"STRANS01"
@@ -36,7 +36,7 @@ LANES = 1024
 BLOCK_IDS = 1 << 18
 #: Blocks a file holds at most.
 FILE_BLOCKS = 64
-HEAD = struct.Struct("<QQQQIIQ")
+HEAD = "<QQQQIIQ"
 LOW = np.uint64(1 << 31)
 
 
@@ -90,16 +90,16 @@ def decode(n: int, states: np.ndarray, words: np.ndarray, table: Table) -> np.nd
 
 def pack(doc_ids: bytes, lengths: bytes, ids: np.ndarray, first: int, table: Table) -> bytes:
     states, words = encode(ids, table)
-    head = HEAD.pack(len(doc_ids) // 8, len(ids), first, len(words), zlib.crc32(ids.astype("<u4").tobytes()), table.crc, 0)
+    head = struct.pack(HEAD, len(doc_ids) // 8, len(ids), first, len(words), zlib.crc32(ids.astype("<u4").tobytes()), table.crc, 0)
     return head + doc_ids + lengths + states.astype("<u8").tobytes() + words.astype("<u4").tobytes()
 
 
 def unpack(block: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(doc_ids, lengths, ids, place of the first id) of a block; raises if it is damaged."""
-    n_docs, n, first, n_words, crc, table_crc, _ = HEAD.unpack_from(block)
+    n_docs, n, first, n_words, crc, table_crc, _ = struct.unpack_from(HEAD, block)
     if table_crc != table.crc:
         raise ValueError("the block was written with another frequency table")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     doc_ids = np.frombuffer(block, "<i8", n_docs, at)
     lengths = np.frombuffer(block, "<i8", n_docs, at + 8 * n_docs)
     at += 16 * n_docs
@@ -303,15 +303,8 @@ def library_encoder(path: str) -> Callable:
     it go to the library, as do, whole, texts that hold a special item.
     """
 
-    def make():
-        if path not in _library:
-            _library[path] = _Library(path)
-        return _library[path].encode_all
+    return lambda: per_process(("library encoder", path), lambda: _Library(path)).encode_all
 
-    return make
-
-
-_library: dict = {}
 
 
 class _Library:
