@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, rans
+from stratatext.llm import bpe, quality, rans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op3_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
