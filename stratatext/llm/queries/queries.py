@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, quality, rans
+from stratatext.llm import bpe, lines, minhash, quality, rans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,11 +35,34 @@ def op3_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), rans.library_encoder(vocabulary()), VOCABULARY, END_ID)
 
 
+@query
+def op4_line_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_table(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_line_filters"] = """
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS no, unnest(ls) AS line
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, no, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.doc_id, k.no, k.line, s.last IS NOT NULL AND s.last <> k.doc_id AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
 @query
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 @query
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
