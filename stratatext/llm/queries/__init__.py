@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["queries"]
+_MODULES = ["queries", "pipeline"]
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, lines, minhash, quality, rans
+from stratatext.llm import bpe, decontaminate, lines, minhash, quality, rans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Id appended to each document, and the size of the vocabulary.
 END_ID, VOCABULARY = 2, 50257
 

@@ -33,8 +33,8 @@ def filter_bits(expected: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, int(BITS_PER_HASH * max(1, expected) - 1).bit_length()))
 
 
-def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Broadcast:
-    """The second filter as packed bits, given to all tasks.
+def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, times: int = 2) -> Broadcast:
+    """The second filter (the first if ``times`` is 1) as packed bits, given to all tasks.
 
     ``hashes_of`` gives the hashes of a batch of ``rows``, each once per unit whose
     repeats count (a document's own repeats are to be left out by it).
@@ -67,20 +67,21 @@ def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, twice = -1, None, None
+        wanted = lambda: twice if times > 1 else once
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()])], schema=merged)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(wanted()).tobytes()])], schema=merged)
 
         for batch in batches:
             for block, again, gaps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    if now >= 0 and twice.any():
+                    if now >= 0 and wanted().any():
                         yield row()
                     now, once, twice = block, np.zeros(span, bool), np.zeros(span, bool)
                 at = np.cumsum(np.frombuffer(gaps, "<u4").astype(np.int64))
                 twice[at if again else at[once[at]]] = True
                 once[at] = True
-        if now >= 0 and twice.any():
+        if now >= 0 and wanted().any():
             yield row()
 
     spark = rows.sparkSession
