@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, decontaminate, lines, minhash, quality, rans
+from stratatext.llm import bpe, decontaminate, lines, minhash, quality, rans, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("html", "url")
+
+
+SQL["op1_warc_ranges"] = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM d),
+q AS (SELECT *, [CAST(('0x' || substr(hex, 5 * i + 1, 5)) AS BIGINT) FOR i IN range(8)] AS parts FROM f)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31 AS INT) + 1, 1) FOR j IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+
 @query
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
