@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, decontaminate, lines, minhash, quality, rans, warc
+from stratatext.llm import bpe, decontaminate, html, lines, minhash, quality, rans, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -75,6 +75,11 @@ FROM j GROUP BY doc_id
 """
 
 
+@query
+def op5_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
