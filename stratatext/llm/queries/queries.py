@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, decontaminate, html, lines, minhash, quality, rans, warc
+from stratatext.llm import bpe, decontaminate, html, lines, minhash, quality, rans, suffixes, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,11 @@ def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+@query
+def op8_sampled_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.byte_table(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
