@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, decontaminate, html, lines, minhash, quality, rans, suffixes, warc
+from stratatext.llm import bpe, decontaminate, html, lines, minhash, passages, quality, rans, suffixes, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op8_sampled_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
