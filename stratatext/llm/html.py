@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe select option button object canvas math".split())
-ALIKE = {"li": {"ul", "ol"}, "p": set(), "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": set()}
+ALIKE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
 #: Tags and parts of class, id or role names that tell what they hold, with log odds.
 TAGS = {"article": 4.0, "main": 3.0, "nav": -9.0, "header": -6.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "dialog": -9.0, "menu": -9.0, "head": -20.0, "figcaption": -1.0}
 NAMES = {
@@ -114,8 +114,10 @@ def blocks(page: str) -> list[Block]:
         if closing:
             pop_to(tag, set())
         else:
+            if stack[-1][0] == "p":  # no block stands inside a paragraph
+                stack.pop()
             if tag in ALIKE:
-                pop_to(tag, ALIKE[tag] | {"article", "section", "div", "body", "blockquote"} if tag == "p" else ALIKE[tag])
+                pop_to(tag, ALIKE[tag])
             evidence = TAGS.get(tag, 0.0)
             if "=" in m[3]:
                 for names in _NAME.findall(m[3]):
