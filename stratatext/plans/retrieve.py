@@ -53,10 +53,6 @@ def safe_hits(hits: DataFrame, preview_chars: int | None = None) -> DataFrame:
     return out.drop("text")
 
 
-def edition_sort(hits: DataFrame, editions: list) -> DataFrame:
-    return hits.withColumn("sort_key", E.sort_key(F.col("edition_id"), editions))
-
-
 def retrieve(
     queries: DataFrame,
     corpus: DataFrame,
@@ -109,9 +105,7 @@ def retrieve(
         .select("query_id", "stage", "id", "rank")
     )
     if vector_corpus is not None:
-        vector = _vector_by_stage(
-            vector_corpus, query_vectors, searched, side_k, score_threshold, [e for e, *_ in editions]
-        )
+        vector = _vector_by_stage(vector_corpus, query_vectors, searched, side_k, score_threshold)
     else:
         vector = keyword.limit(0)
     fused = stored(
@@ -133,22 +127,14 @@ def retrieve(
     return FU.order_by_intent(shaped).select("query_id", "rank", "id", "edition_id", "score", "source", "intent")
 
 
-def _vector_by_stage(
-    corpus: DataFrame, query_vectors: DataFrame, searched: DataFrame, k: int, threshold: float, editions: list[str]
-) -> DataFrame:
-    """Vector hits per (query, stage): one search per edition in use, one over all."""
-    open_ = searched.filter(F.col("edition_id").isNull()).select("query_id", "stage")
-    parts = [VS.vector_search(corpus, query_vectors.join(open_, "query_id", "left_semi"), k, threshold).join(open_, "query_id")]
-    used = {r["edition_id"] for r in searched.select("edition_id").distinct().filter("edition_id is not null").limit(len(editions)).collect()}
-    for edition in editions:
-        if edition not in used:
-            continue
-        mine = searched.filter(F.col("edition_id") == edition).select("query_id", "stage")
-        found = VS.vector_search(
-            corpus, query_vectors.join(mine, "query_id", "left_semi"), k, threshold, F.col("edition_id") == edition
-        )
-        parts.append(found.join(mine, "query_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("query_id", "stage", "id", "rank")
+def _vector_by_stage(corpus: DataFrame, query_vectors: DataFrame, searched: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Vector hits per (query, stage) in one pass over the corpus.
+
+    A stage with an edition ranks that edition's rows alone, whether or not it is in
+    the edition list; a stage without one ranks all rows.
+    """
+    key = F.to_json(F.struct("query_id", "stage"))
+    asked = searched.withColumn("ask", key).join(query_vectors, "query_id")
+    vectors = asked.select(F.col("ask").alias("query_id"), "embedding", F.col("edition_id").alias("group"))
+    found = VS.vector_search(corpus, vectors, k, threshold, group="edition_id").withColumnRenamed("query_id", "ask")
+    return found.join(asked.select("ask", "query_id", "stage"), "ask").select("query_id", "stage", "id", "rank")

@@ -192,3 +192,34 @@ def test_warnings(spark):
     assert [(r["rule_id"], r["concept"]) for r in rows] == [("TC-001", temporal.DEFINITIONS_LABEL), ("TC-002", "의욕관리"), ("TC-003", "의욕관리"), ("TC-004", "의욕관리"), ("TC-001", "의욕관리")]
     assert temporal.warnings(hits, q, m, concepts, statuses, known).count() == 3
     assert V.EDITIONS[0][1] == 1979
+
+
+def test_grouped_vectors_in_tiles(spark):
+    """Every group keeps its own best rows, whatever the tile size, and a null group meets all."""
+    import numpy as np
+
+    from stratatext.operators.vectors import vector_search
+
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(60, 5)), rng.normal(size=(9, 5))
+    corpus = spark.createDataFrame([(i, v.tolist(), f"e{i % 3}") for i, v in enumerate(x)], "id long, embedding array<double>, edition_id string")
+    asked = spark.createDataFrame([(i, v.tolist(), [None, "e1", "zz"][i % 3]) for i, v in enumerate(q)], "query_id long, embedding array<double>, group string")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(x).T, 9)
+    want = set()
+    for i in range(9):
+        ok = [j for j in range(60) if i % 3 == 0 or (i % 3 == 1 and j % 3 == 1)]
+        want |= {(i, r + 1, j) for r, j in enumerate(sorted(ok, key=lambda j: (-s[i, j], j))[:4])}
+    for more in ({}, {"tile_bytes": 1}, {"query_block": 2, "corpus_chunk": 20}):
+        got = vector_search(corpus, asked, 4, -1.0, group="edition_id", **more)
+        assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == want
+
+
+def test_stages_of_unlisted_editions(spark):
+    from stratatext.plans.retrieve import _vector_by_stage
+
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "zz"), (2, [1.0, 0.1], "e1")], "id long, embedding array<double>, edition_id string")
+    vectors = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
+    searched = spark.createDataFrame([(7, 0, "zz"), (7, 1, "e1"), (7, 2, None)], "query_id long, stage int, edition_id string")
+    got = {(r["stage"], r["id"], r["rank"]) for r in _vector_by_stage(corpus, vectors, searched, 5, 0.1).collect()}
+    assert got == {(0, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2)}
