@@ -173,7 +173,7 @@ def health_checks(spark, sf):
 _AX = {"relevance": 3, "faithfulness": 5, "quote_accuracy": 7, "temporal_correctness": 11}
 CTES["results"] = ([], "SELECT l.doc_id AS id, list_extract(['single_version', 'cross_version', 'definition', 'open_ended'], CAST(d.n_chars % 4 AS INT) + 1) AS query_type, quality = 1 AS passed, toxic = 0 AS regression_passed, "
     + ", ".join(f"1 + ((d.n_chars + l.doc_id * {k}) % 9) / 2.0::DOUBLE AS {a}" for a, k in _AX.items()) + " FROM labels l JOIN documents d USING (doc_id)")
-CTES["questions"] = ([], "SELECT doc_id AS id, list_extract(['single_version', 'cross_version', 'definition', 'open_ended'], CAST(n_chars % 4 AS INT) + 1) AS query_type, CASE WHEN doc_id % 3 > 0 THEN source END AS expected_edition, list_extract(['easy', 'medium', 'hard'], CAST(n_chars % 3 AS INT) + 1) AS difficulty, doc_id % 4 = 0 AS has_checks FROM documents WHERE lang <> 'de'")
+CTES["questions"] = ([], "SELECT doc_id AS id, list_extract(['single_version', 'cross_version', 'definition', 'open_ended'], CAST(n_chars % 4 AS INT) + 1) AS query_type, CASE WHEN doc_id % 3 > 0 THEN source END AS expected_edition, list_extract(['easy', 'medium', 'hard'], CAST(n_chars % 3 AS INT) + 1) AS difficulty, doc_id % 4 = 0 AS has_checks FROM documents")
 CTES["axes"] = (["results"], " UNION ALL ".join(f"SELECT id, query_type, '{a}' AS axis, {a} AS score, CAST({V.AXIS_THRESHOLDS[a]} AS DOUBLE) AS th FROM results" for a in _AX))
 LABELS = [f"src{i}" for i in range(18)] + ["src98", "src99"]
 
@@ -188,7 +188,7 @@ def results(spark, sf):
 
 def questions(spark, sf):
     pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), i.cast("int") + 1)
-    return C.read(spark, sf, "documents").filter("lang <> 'de'").select(
+    return C.read(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), pick(["single_version", "cross_version", "definition", "open_ended"], F.col("n_chars") % 4).alias("query_type"),
         F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("expected_edition"), pick(["easy", "medium", "hard"], F.col("n_chars") % 3).alias("difficulty"),
         F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("no_mixed_definitions"))).otherwise(F.array().cast("array<string>")).alias("regression_checks"))
@@ -310,9 +310,18 @@ def judge_scores(spark, sf):
     return out.select("id", "s.*", CL.judge_passed(F.col("s")).alias("passed"))
 
 
-@query("repaired_json", sql("SELECT id, conv_id % 5 <> 4 AS readable FROM replies", "replies"))
+@query("repaired_json", sql("SELECT id, conv_id % 5 <> 4 OR turn % 4 < 3 AS readable FROM replies", "replies"))
 def repaired_json(spark, sf):
-    return replies(spark, sf).select("id", T.json_or_repaired(F.col("reply")).isNotNull().alias("readable"))
+    # Replies of the fifth kind also as prose before an object or list, and after a fence that is no JSON.
+    prose = F.regexp_replace("reply", r"[{}\[\]`\"\\\\]", "")
+    more = (
+        F.when(F.col("turn") % 4 == 0, F.concat(prose, F.lit(': {"a": [1, 2]}')))
+        .when(F.col("turn") % 4 == 1, F.concat(prose, F.lit("\n[1, {}]")))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit("```\n"), prose, F.lit('\n```\n{"a": "b"}')))
+        .otherwise(F.col("reply"))
+    )
+    reply = F.when(F.col("conv_id") % 5 == 4, more).otherwise(F.col("reply"))
+    return replies(spark, sf).select("id", T.json_or_repaired(reply).isNotNull().alias("readable"))
 
 
 @query("parsed_routes", """SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 4 = 3 THEN 'open_ended' ELSE list_extract(['specific_time', 'general_definition', 'open_ended'], CAST(conv_id % 4 AS INT) + 1) END AS intent,

@@ -126,12 +126,11 @@ def trace_rollup(spark, sf):
 
 
 @query("token_costs", """SELECT model, input_tokens, output_tokens, round(usd, 4) AS usd, CAST(floor(round(usd * 1350, 6)) AS BIGINT) AS krw FROM (SELECT *, input_tokens / 1000.0::DOUBLE * CASE model WHEN 'claude-3-5-sonnet' THEN 0.003 WHEN 'gpt-4o' THEN 0.0025 ELSE 0.00015 END::DOUBLE + output_tokens / 1000.0::DOUBLE * CASE model WHEN 'claude-3-5-sonnet' THEN 0.015 WHEN 'gpt-4o' THEN 0.010 ELSE 0.0006 END::DOUBLE AS usd FROM (
-   SELECT CASE lang WHEN 'en' THEN 'gpt-4o' WHEN 'fr' THEN 'claude-3-5-sonnet' ELSE lang END AS model, CAST(sum(length(text) // 4) AS BIGINT) AS input_tokens, CAST(sum(length(left(text, 400)) // 4) AS BIGINT) AS output_tokens FROM documents GROUP BY 1))""")
+   SELECT CASE lang WHEN 'en' THEN 'gpt-4o' WHEN 'fr' THEN 'claude-3-5-sonnet' ELSE lang END AS model, CAST(sum(length(text) // 4) AS BIGINT) AS input_tokens, CAST(sum(length(text) // 4) AS BIGINT) AS output_tokens FROM documents GROUP BY 1))""")
 def token_costs(spark, sf):
     d = C.read(spark, sf, "documents")
     model = F.when(F.col("lang") == "en", "gpt-4o").when(F.col("lang") == "fr", "claude-3-5-sonnet").otherwise(F.col("lang"))
-    head = F.substring("text", 1, 400)  # the reply length of this made-up usage log
-    usage = d.select(model.alias("model"), metrics.tokens_by_share(F.col("text")).alias("input_tokens"), metrics.tokens_by_mix(head).alias("output_tokens"))
+    usage = d.select(model.alias("model"), metrics.tokens_by_share(F.col("text")).alias("input_tokens"), metrics.tokens_by_mix(F.col("text")).alias("output_tokens"))
     return metrics.cost_by_model(usage)
 
 
@@ -200,16 +199,16 @@ def canonical_lookup(spark, sf):
     return lookup.canonical_lookup(part_asks(spark, sf), items)
 
 
-@query("canonical_items", sql("""SELECT canonical_id, string_agg(quote_id, ',' ORDER BY k) AS quote_ids FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY k) AS r FROM (
-     SELECT p_partkey AS canonical_id, k, q.quote_id FROM (SELECT p_partkey, unnest([p_partkey, p_size * 7, p_partkey * 3, p_size]) AS pos, unnest([0, 1, 2, 3]) AS k FROM part) e
-     JOIN (SELECT quote_id, row_number() OVER (ORDER BY doc_id, start_line) - 1 AS pos FROM quotes WHERE edition_id = 'src6') q USING (pos))) WHERE r <= 3 GROUP BY 1""", "quotes"))
+@query("canonical_items", sql("""SELECT edition_id, canonical_id, string_agg(quote_id, ',' ORDER BY k) AS quote_ids FROM (SELECT *, row_number() OVER (PARTITION BY edition_id, canonical_id ORDER BY k) AS r FROM (
+     SELECT q.edition_id, p_partkey AS canonical_id, k, q.quote_id FROM (SELECT p_partkey, unnest([p_partkey, p_size * 7, p_partkey * 3, p_size]) AS pos, unnest([0, 1, 2, 3]) AS k FROM part) e
+     JOIN (SELECT edition_id, quote_id, row_number() OVER (PARTITION BY edition_id ORDER BY doc_id, start_line) - 1 AS pos FROM quotes) q USING (pos))) WHERE r <= 3 GROUP BY 1, 2""", "quotes"))
 def canonical_items(spark, sf):
     from stratatext.operators.scan import range_bounds, sequence_in_groups
 
-    mine = C.quotes(spark, sf).filter("edition_id = 'src6'")
+    mine = C.quotes(spark, sf)
     numbered = sequence_in_groups(mine, ["edition_id"], "doc_id", ["start_line", "part"], "seq", range_bounds(mine, "doc_id"))
     entries = C.read(spark, sf, "part").select(F.col("p_partkey").alias("canonical_id"), F.array(F.col("p_partkey"), F.col("p_size").cast("long") * 7, F.col("p_partkey") * 3, F.col("p_size").cast("long")).alias("quote_indices"))
-    out = lookup.canonical_items(entries, numbered.select((F.col("seq") - 1).alias("pos"), "quote_id"))
+    out = lookup.canonical_items(entries, numbered.select("edition_id", (F.col("seq") - 1).alias("pos"), "quote_id"))
     return out.withColumn("quote_ids", F.array_join("quote_ids", ","))
 
 

@@ -58,11 +58,6 @@ def display_name(edition_id: Column) -> Column:
     )
 
 
-def edition_table(spark: SparkSession, editions: Editions = V.EDITIONS) -> DataFrame:
-    rows = [(e, y, r, i) for i, (e, y, r) in enumerate(editions)]
-    return spark.createDataFrame(rows, "edition_id string, year int, revision_num int, ord int")
-
-
 def hints_in(text: Column, editions: Editions = V.EDITIONS) -> Column:
     """Distinct editions a text mentions as ``N차``, ``초판`` or ``YYYY년``, oldest first."""
     found = F.concat(

@@ -85,21 +85,6 @@ def lines_with_ends(text: Column) -> Column:
     )
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Distinct character n-grams; empty when the text is shorter than ``n``."""
-
-    def build(chars: Column) -> Column:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(chars) - (n - 1)),
-            lambda i: F.array_join(F.slice(chars, i, n), ""),
-        )
-        return F.when(F.size(chars) >= n, F.array_distinct(grams)).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    return let(F.filter(F.split(text, ""), lambda c: c != F.lit("")), build)
-
-
 def clean_query(text: Column) -> Column:
     """Drop control characters and markup tags, then trim."""
     no_control = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
@@ -120,14 +105,40 @@ META_LINES = [
 ]
 
 
+# fixed values: keys of a JSON reply that hold no text
+JSON_LABELS = ["type", "quiz_id", "card_id"]
+
+
+def json_texts(text: Column) -> Column:
+    """The texts of a JSON object in order: string values and strings in list values.
+
+    Null where the text is no object or holds none.
+    """
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    as_text = lambda v: F.try_variant_get(v, "$", "string")
+
+    def texts(entry: Column) -> Column:
+        items = F.coalesce(F.try_variant_get(entry["value"], "$", "array<variant>"), F.array().cast("array<variant>"))
+        own = F.when(is_text(entry["value"]) & ~entry["key"].isin(JSON_LABELS), F.array(as_text(entry["value"])))
+        return F.when(is_text(entry["value"]), F.coalesce(own, F.array().cast("array<string>"))).otherwise(F.transform(F.filter(items, is_text), as_text))
+
+    trimmed = strip(text)
+    object_ = F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.from_json(trimmed, "map<string,variant>"))
+    found = F.flatten(F.transform(F.map_entries(object_), texts))
+    return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+
+
 def clean_generated(text: Column, drop_lines: list[str] = META_LINES) -> Column:
-    """Unwrap code fences and bold, drop meta lines, squeeze blank runs."""
-    out = F.regexp_replace(text, r"(?s)```(?:\w+)?\s*\n(.*?)```", "$1")
-    out = F.regexp_replace(out, r"```(?:\w+)?\s*\n?", "")
-    out = F.regexp_replace(out, r"\*\*(.+?)\*\*", "$1")
+    """Unwrap code fences and bold, drop meta lines, squeeze blank runs.
+
+    A reply that is a JSON object as a whole becomes its texts.
+    """
+    bare = F.regexp_replace(text, r"(?s)```(?:\w+)?\s*\n(.*?)```", "$1")
+    bare = F.regexp_replace(bare, r"```(?:\w+)?\s*\n?", "")
+    out = F.regexp_replace(bare, r"\*\*(.+?)\*\*", "$1")
     for pattern in drop_lines:
         out = F.regexp_replace(out, "(?dm)" + pattern, "")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return F.coalesce(json_texts(bare), strip(F.regexp_replace(out, r"\n{3,}", "\n\n")))
 
 
 def fenced_block(text: Column) -> Column:
@@ -151,8 +162,13 @@ def repair_json(text: Column) -> Column:
 
 
 def json_or_repaired(text: Column) -> Column:
-    """The fenced JSON text when it parses, its repaired form when that does, else null."""
-    block = fenced_block(text)
-    fixed = repair_json(block)
-    parses = lambda c: F.try_parse_json(c).isNotNull()
-    return F.when(parses(block), block).when(parses(fixed), fixed)
+    """The first part of a reply that is JSON: a json fence, a fence, the text from the
+    first brace, the text from the first bracket; then the same parts repaired; else null.
+    """
+    parts = [
+        F.when(F.contains(text, F.lit("```json")), strip(F.get(F.split(F.get(F.split(text, "```json"), F.lit(1)), "```"), F.lit(0)))),
+        F.when(F.contains(text, F.lit("```")), strip(F.get(F.split(text, "```"), F.lit(1)))),
+        *[F.when(F.contains(text, F.lit(c)), strip(text.substr(F.instr(text, c), F.length(text)))) for c in "{["],
+    ]
+    parses = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(*[parses(p) for p in parts], *[parses(repair_json(p)) for p in parts])

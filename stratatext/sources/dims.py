@@ -6,10 +6,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A dimension file may not hold more rows than this; larger ones belong in tables.
-MAX_ROWS = 20_000
-
-
 def load_yaml(path: str) -> dict:
     """Parsed YAML; a missing file gives an empty dict."""
     try:
@@ -20,12 +16,6 @@ def load_yaml(path: str) -> dict:
     return (yaml.safe_load(p.read_text(encoding="utf-8")) or {}) if p.exists() else {}
 
 
-def _bounded(rows: list) -> list:
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"dimension of {len(rows)} rows; load it as a table")
-    return rows
-
-
 def concept_tables(spark: SparkSession, data: dict) -> tuple[DataFrame, DataFrame]:
     """(concepts with an ``editions`` map, edition years) from a timeline document."""
     years = [(e["edition_id"], int(e["year"])) for e in data.get("editions_metadata", [])]
@@ -38,22 +28,22 @@ def concept_tables(spark: SparkSession, data: dict) -> tuple[DataFrame, DataFram
         rows.append((c.get("concept_id", ""), i, c.get("name_ko", ""), c.get("name_en", ""), c.get("category", ""),
                      c.get("first_edition", ""), c.get("last_edition"), c.get("description", ""), eds))
     concepts = spark.createDataFrame(
-        _bounded(rows),
+        rows,
         "concept_id string, concept_ord int, name_ko string, name_en string, category string, first_edition string, "
         "last_edition string, description string, editions map<string,struct<status:string,note:string>>",
     )
-    return concepts, spark.createDataFrame(_bounded(years), "edition_id string, year int")
+    return concepts, spark.createDataFrame(years, "edition_id string, year int")
 
 
 def synonym_clusters(spark: SparkSession, data: dict) -> DataFrame:
     rows = [(i, c.get("name", ""), list(c.get("terms", []))) for i, c in enumerate(data.get("synonym_clusters", []))]
-    return spark.createDataFrame(_bounded(rows), "cluster_ord int, name string, terms array<string>")
+    return spark.createDataFrame(rows, "cluster_ord int, name string, terms array<string>")
 
 
 def known_conflicts(spark: SparkSession, data: dict) -> DataFrame:
     raw = data.get("temporal_conflict", {}).get("known_conflicts", [])
     rows = [(i, c.get("concept", ""), c.get("concept_id", ""), list(c.get("editions", [])), c.get("note", "")) for i, c in enumerate(raw)]
-    return spark.createDataFrame(_bounded(rows), "ord int, concept string, concept_id string, editions array<string>, note string")
+    return spark.createDataFrame(rows, "ord int, concept string, concept_id string, editions array<string>, note string")
 
 
 def policy_values(data: dict, default: dict) -> dict:

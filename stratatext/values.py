@@ -132,7 +132,6 @@ OVERLAP_TOKENS = 50
 BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_EPSILON = 0.25
-TYPE_BOOST = {"definition": 2.0, "principle": 1.5}
 RRF_K = 60
 ALPHA = 0.6
 SCORE_THRESHOLD = 0.5
@@ -220,11 +219,10 @@ CLAIM_DATE_ONLY = r"^\d{4}년\s*\d{1,2}월\s*$"
 # --- fixed values: evidence checks -----------------------------------------------
 CITATION = r"\b(\d{4}-(?:\d{1,2}차|초판)\|[^|\s]+\|[^|\s]+\|[^|\s]+)\b"
 REF_MARK = r"\(Ref:\s*([^)]+)\)"
-EDITION_MENTION = r"(?:(\d{1,2})차\s*(?:개정판)?|초판|현행)"
 HALLUCINATION_RULES = [
     ("일반론 주장", r"(?:일반적으로|통상적으로|보통)\s+.{5,}(?:알려져|여겨)"),
     ("구체적 조항 번호", r"(?:제\s*\d+\s*조|조항\s*\d+)"),
-    ("구체적 날짜", r"\d{4}년\s*\d{1,2}월\s*\d{1,2}일"),
+    ("구체적 날짜 (환각 가능)", r"\d{4}년\s*\d{1,2}월\s*\d{1,2}일"),
     ("구체적 백분율 수치", r"(?:약\s*)?\d+(?:\.\d+)?%"),
 ]
 MIN_SHARED_CHARS = 8

@@ -200,3 +200,20 @@ def test_registry_is_consistent():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 120
+
+
+def test_json_parts_of_replies(spark):
+    from stratatext.functions import text as T
+
+    rows = [
+        ('Here is: {"a": 1}', '{"a": 1}', 'Here is: {"a": 1}'),
+        ("x [1,2]", "[1,2]", "x [1,2]"),
+        ('```\nnope\n```\n{"b": 2}', '{"b": 2}', 'nope\n\n{"b": 2}'),
+        ('```json\n{"a":1,}\n```', '{"a":1}', '{"a":1,}'),
+        ('{"type": "card", "title": "hello", "items": ["a", 1, "b"], "end": "last"}', '{"type": "card", "title": "hello", "items": ["a", 1, "b"], "end": "last"}', "hello\na\nb\nlast"),
+        ("**x** {y}", None, "x {y}"),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, t string")
+    got = df.select("i", T.json_or_repaired(F.col("t")), T.clean_generated(F.col("t"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [(j, c) for _, j, c in rows]
