@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratatext.operators import bm25, lookup, metrics
@@ -256,27 +257,30 @@ def event_stream(spark, sf):
     return shape(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-_CLOSED = "(SELECT max(ts) FROM req) - INTERVAL 10 MINUTE"
+def all_windows(spark, sf, make) -> DataFrame:
+    """What the stream emits, and the windows still open at its end."""
+    emitted = ST.run_to_table(make(event_stream(spark, sf)), *_folders(spark))
+    return emitted.unionByName(ST.open_windows(requests(spark, sf), make).select(*emitted.columns))
 
 
-@query("stream_hourly_totals", sql(f"SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us, count(*) AS requests FROM req GROUP BY date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED}", "req"))
+@query("stream_hourly_totals", sql("SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us, count(*) AS requests FROM req GROUP BY date_trunc('hour', ts)", "req"))
 def stream_hourly_totals(spark, sf):
-    t = ST.run_to_table(ST.hourly_totals(event_stream(spark, sf)), *_folders(spark))
+    t = all_windows(spark, sf, ST.hourly_totals)
     return t.select(F.unix_micros("window_start").alias("window_start_us"), "requests")
 
 
-@query("stream_request_windows", sql(f"""SELECT epoch_us(w) AS window_start_us, endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms FROM (
-   SELECT *, date_trunc('hour', ts) + to_minutes(CAST(minute(ts) // 5 * 5 AS INT)) - to_minutes(CAST(5 * unnest(range(12)) AS INT)) AS w FROM req) GROUP BY w, endpoint HAVING w + INTERVAL 1 HOUR <= {_CLOSED}""", "req"))
+@query("stream_request_windows", sql("""SELECT epoch_us(w) AS window_start_us, endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms FROM (
+   SELECT *, date_trunc('hour', ts) + to_minutes(CAST(minute(ts) // 5 * 5 AS INT)) - to_minutes(CAST(5 * unnest(range(12)) AS INT)) AS w FROM req) GROUP BY w, endpoint""", "req"))
 def stream_request_windows(spark, sf):
-    t = ST.run_to_table(ST.request_windows(event_stream(spark, sf), "1 hour", "5 minutes"), *_folders(spark))
+    t = all_windows(spark, sf, lambda e: ST.request_windows(e, "1 hour", "5 minutes"))
     return t.select(F.unix_micros("window_start").alias("window_start_us"), "endpoint", "requests", "errors", "min_ms", "max_ms")
 
 
-@query("stream_alerts", sql(f"""SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us, endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors FROM req WHERE endpoint = 'error' GROUP BY date_trunc('hour', ts), endpoint HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED}""", "req"))
+@query("stream_alerts", sql("""SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us, endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors FROM req WHERE endpoint = 'error' GROUP BY date_trunc('hour', ts), endpoint""", "req"))
 def stream_alerts(spark, sf):
     """Alerts of hourly windows; only error rates can exceed these wide latency targets."""
     targets = C.read(spark, sf, "events").groupBy(F.col("event_type").alias("endpoint")).agg((F.max("value") * 10).alias("p95_target"))
-    t = ST.run_to_table(ST.request_windows(event_stream(spark, sf)), *_folders(spark))
+    t = all_windows(spark, sf, ST.request_windows)
     return ST.alerts(t, targets).filter("level = 'critical'").select(F.unix_micros("window_start").alias("window_start_us"), "endpoint", "requests", "errors")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import broadcast_if_small, stored
 
 QUOTE_SCHEMA = (
     "quote_id string, edition_id string, type string, section_path array<string>, text string, "
@@ -37,28 +38,35 @@ def parse_lines(lines: DataFrame, schema: str | StructType, required: list[str])
     spark = lines.sparkSession
     base = _schema(spark, schema)
     full = StructType([*base.fields, StructField("_bad", StringType())])
+    place = [c for c in ("file", "line_num") if c in lines.columns]
     rows = lines.filter(T.strip(F.col("value")) != "").select(
-        "line_num", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
+        *place, F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
     )
     missing = F.array_compact(F.array(*[F.when(F.col("r." + c).isNull(), F.lit(c)) for c in required]))
     tagged = rows.withColumn("missing", missing).withColumn("broken", F.col("r._bad").isNotNull())
-    good = tagged.filter(~F.col("broken") & (F.size("missing") == 0)).select("line_num", *[F.col(f"r.{f.name}").alias(f.name) for f in base.fields])
+    good = tagged.filter(~F.col("broken") & (F.size("missing") == 0)).select(*place, *[F.col(f"r.{f.name}").alias(f.name) for f in base.fields])
     id_field = F.coalesce(F.col("r." + required[0]), F.lit("")) if required else F.lit("")
     bad = tagged.filter(F.col("broken") | (F.size("missing") > 0)).select(
-        "line_num", id_field.cast("string").alias("record_id"),
+        *place, id_field.cast("string").alias("record_id"),
         F.when(F.col("broken"), F.lit("unreadable JSON")).otherwise(F.concat(F.lit("missing: "), F.array_join("missing", ","))).alias("message"),
     )
     return good, bad
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str | StructType = QUOTE_SCHEMA, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Error-tolerant scan: (records, errors) with file and row position.
+    """Error-tolerant scan: (records, errors) with each line's file and 1-based number in it.
 
-    Line numbers come from Spark's per-file row positions only where the format
-    offers them; for text files a file name and offset-free order is kept as the
-    monotone row id of the scan.
+    A large file is read in blocks by several tasks: lines are counted per block, and
+    a block's lines are numbered from the sum over the blocks before it.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_num"), "value")
+    block = F.input_file_block_start()
+    lines = stored(
+        spark.read.text(path).select(F.input_file_name().alias("file"), block.alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"), "lines"
+    )
+    blocks = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    lines = lines.join(broadcast_if_small(blocks), ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_num"), "value")
     return parse_lines(lines, schema, required or ["quote_id", "edition_id", "type", "text", "start_line", "char_span"])
 
 

@@ -170,6 +170,23 @@ def test_jsonl_policies(spark, tmp_path):
         jsonl.read_strict(spark, str(p), jsonl.QUESTION_SCHEMA).collect()
 
 
+def test_line_numbers_over_blocks(spark, tmp_path):
+    """Numbers run through a file that several tasks read, and start anew in the next file."""
+    for name, n in (("a", 700), ("b", 30)):
+        (tmp_path / name).write_text("".join(f'{{"id": "{name}{i}", "query": "x"}}\n' if i % 7 else "\n{\n" for i in range(n)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        good, bad = jsonl.read_tolerant(spark, str(tmp_path), jsonl.QUESTION_SCHEMA, ["id", "query"])
+        got = {(r["file"][-1], r["line_num"]): r["id"] for r in good.collect()}
+        broken = {(r["file"][-1], r["line_num"]) for r in bad.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    lines = {(name, k): x for name in "ab" for k, x in enumerate((tmp_path / name).read_text().split("\n"), 1)}
+    assert got == {at: x.split('"')[3] for at, x in lines.items() if '"id"' in x}
+    assert broken == {at for at, x in lines.items() if x == "{"}
+
+
 def test_sinks_and_texts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("한 줄\n둘", encoding="utf-8")
