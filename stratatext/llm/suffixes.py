@@ -86,7 +86,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterato
         at = (sliding_minimum(packed, length - gram + 1) & mask).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        yield begin, first, last, at[first], hashes[at[first]]
+        yield begin, first, last, at[first], mix(hashes[at[first]])  # minima are all small: spread them again
 
 
 def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
