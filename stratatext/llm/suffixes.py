@@ -99,39 +99,61 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
     seen = twice_seen(rows, gram_hashes, filter_bits(2 * size // (length - gram)))
-    schema = pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("context", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("more", pa.int32())])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_buffer()
-                data = np.frombuffer(raw, np.uint8)
+                data = np.frombuffer(text.as_buffer(), np.uint8)
                 for begin, first, last, at, hashes in anchors(data, length, gram):
                     for k in np.flatnonzero(maybe_repeated(seen.value, hashes)).tolist():
-                        a, b = begin + int(first[k]), begin + int(last[k]) + length
-                        context = data[a:b].tobytes()
-                        name = hashlib.blake2b(context, digest_size=8, salt=(int(at[k]) - int(first[k])).to_bytes(4, "big")).digest()
-                        out.append((int(hashes[k].view(np.int64)), int.from_bytes(name, "big", signed=True), doc, a, context))
+                        a, more = begin + int(first[k]), int(last[k]) - int(first[k])
+                        name = hashlib.blake2b(data[a : a + more + length], digest_size=8, salt=(int(at[k]) - int(first[k])).to_bytes(4, "big")).digest()
+                        out.append((int(hashes[k].view(np.int64)), int.from_bytes(name, "big", signed=True), doc, a, more))
                     if len(out) > 20_000:
                         yield rows_batch(out, schema)
                         out = []
             yield rows_batch(out, schema)
 
-    found, found_path = save(rows.mapInArrow(sampled, "gram long, name long, doc_id long, first long, context binary"), "anchors")
-    named, named_path = save(found.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("lead")), "contexts")
+    found, found_path = save(rows.mapInArrow(sampled, "gram long, name long, doc_id long, first long, more int"), "anchors")
+    lead = F.min(F.struct("doc_id", "first", "more")).alias("lead")
+    named, named_path = save(found.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), lead), "contexts")
     open_, open_path = save(named.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("gram"), "open-grams")
     again, again_path = save(named.where("n > 1").select("gram", "name"), "repeated-contexts")
-    spans = found.select("gram", "name", "doc_id", "first", (F.length("context") - length).alias("more"))
-    whole = spans.join(again, ["gram", "name"]).select("doc_id", "first", (F.col("first") + F.col("more")).alias("last"))
-    lead = named.join(open_, "gram").select(F.col("lead.doc_id").alias("doc_id"), F.col("lead.first").alias("first"), "n")
-    edge, edge_path = save(found.select("doc_id", "first", "context").join(lead, ["doc_id", "first"]).select("doc_id", "first", "n", "context"), "edges")
+    whole = found.join(again, ["gram", "name"]).select("doc_id", "first", (F.col("first") + F.col("more")).alias("last"))
+    leads, leads_path = save(named.join(open_, "gram").select("lead.*", "n"), "leads")
+
+    # The leads' contexts, by another walk over the texts that a filter of their places spares from a shuffle.
+    place = lambda doc, first: mix(mix(doc.astype(np.uint64) + np.uint64(1)) + first.astype(np.uint64))
+    wanted = twice_seen(leads.select("doc_id", "first"), lambda b: place(np.asarray(b.column(0)), np.asarray(b.column(1))), filter_bits(leads.count()), times=1)
+    context_schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("context", pa.binary())])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                for begin, first, last, _, hashes in anchors(data, length, gram):
+                    ok = maybe_repeated(wanted.value, place(np.full(len(first), doc), begin + first)) & maybe_repeated(seen.value, hashes)
+                    out += [(doc, begin + int(first[k]), data[begin + first[k] : begin + last[k] + length].tobytes()) for k in np.flatnonzero(ok).tolist()]
+                if len(out) > 20_000:
+                    yield rows_batch(out, context_schema)
+                    out = []
+            yield rows_batch(out, context_schema)
+
+    edge, edge_path = save(rows.mapInArrow(contexts, "doc_id long, first long, context binary").join(leads, ["doc_id", "first"]).select("doc_id", "first", "n", "context"), "edges")
 
     def strings(context: bytes) -> np.ndarray:
         return window_hashes(np.frombuffer(context, np.uint8), length, powers_of(0))
 
+    def all_strings(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.repeat(strings(c), min(2, n)) for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)] or [np.empty(0, np.uint64)])
+
+    # Starts of contexts met once that stand elsewhere, and starts of the others that meet one of those.
     many = edge.agg(F.sum(F.length("context") - (length - 1))).first()[0] or 0
-    twice = twice_seen(edge.select("n", "context"), lambda b: np.concatenate([np.repeat(strings(c), min(2, n)) for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)] or [np.empty(0, np.uint64)]), filter_bits(many))
+    twice = twice_seen(edge.select("n", "context"), all_strings, filter_bits(many))
+    lone = twice_seen(edge.where("n = 1").select("n", "context"), all_strings, filter_bits(many), times=1)
     start_schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +161,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             parts: list[tuple] = []
             for doc, first, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = strings(context)
-                ok = np.flatnonzero(maybe_repeated(twice.value, x))
+                ok = np.flatnonzero(maybe_repeated(twice.value if n == 1 else lone.value, x))
                 if len(ok):
                     y = window_hashes(np.frombuffer(context, np.uint8), length, powers_of(1))
                     parts.append((x[ok].view(np.int64), y[ok].view(np.int64), np.full(len(ok), doc), first + ok, np.full(len(ok), min(n, 2))))
@@ -150,7 +172,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     equal, equal_path = save(single.groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y"), "repeated-starts")
     merged = single.where("n = 1").join(equal, ["x", "y"]).select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
     out, _ = save(whole.union(merged), "repeats")
-    drop(spark, found_path, named_path, open_path, again_path, edge_path, single_path, equal_path)
+    drop(spark, found_path, named_path, open_path, again_path, leads_path, edge_path, single_path, equal_path)
     return out
 
 
