@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from stratatext.llm.common import WordHashes, drop, mix, per_process, save, shingles, texts, words_of
 from stratatext.llm.seen import filter_bits, maybe_repeated, twice_seen
 
-HALF = 2
-COLLECTION = 12
+HALF = 3
+COLLECTION = 16
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,8 +41,9 @@ def short_keys(values: np.ndarray) -> np.ndarray:
     """The 2 * COLLECTION short keys of a set."""
     n = 2 * COLLECTION * HALF
     low = np.empty(n, np.uint64)
-    for i, start in enumerate(np.arange(1, n + 1, dtype=np.uint64) * SEED):
-        low[i] = mix(values + start).min()
+    turns = mix(np.arange(1, n + 1, dtype=np.uint64) * SEED)
+    for i, (turn, odd) in enumerate(zip(turns, mix(turns) | np.uint64(1), strict=True)):
+        low[i] = ((values ^ turn) * odd).min()  # a bijection of hashes that are mixed already
     keys = np.zeros(2 * COLLECTION, np.uint64)
     for part in low.reshape(2 * COLLECTION, HALF).T:
         keys = mix(keys * SEED + part)
