@@ -272,7 +272,8 @@ def block_index(files: DataFrame, folder: str) -> DataFrame:
                 index = read_index(os.path.join(folder, name)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(index)), pa.array(index[:, :2].tolist(), schema.field("at").type), pa.array(index[:, 2]), pa.array(index[:, 3])], schema=schema)
 
-    return files.select("file").mapInArrow(run, "file string, at array<long>, first long, n_ids long").repartition("file", "first")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file").mapInArrow(run, "file string, at array<long>, first long, n_ids long").repartition(parts, "file", "first")
 
 
 def round_trip(docs: DataFrame, encoder: Callable, size: int, end_id: int) -> DataFrame:

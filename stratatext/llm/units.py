@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries after which the table starts anew, and the longest unit it keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 CACHE_LENGTH = 64
 
 
