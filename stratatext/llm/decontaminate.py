@@ -82,6 +82,7 @@ def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
     hits = seed_rows(rows, "doc_id", masks, seen)
     met = hits.join(own, "seed").selectExpr("doc_id", "item_id", "at - item_at as at").distinct()
     met, _ = save(met, "diagonals")
+    seen.destroy()
     by_doc = met.join(tests.select("item_id", F.col("text").alias("item")), "item_id").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "at", "item")).alias("met"))
     held = rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_equal", pa.int64()), ("at", pa.int64())])

@@ -71,6 +71,7 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(at, pa.list_(pa.int32()))], schema=schema)
 
     found, _ = save(rows.mapInArrow(suspects, "doc_id long, key binary, at array<int>"), "line-suspects")
+    seen.destroy()
     counted = found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     shared, _ = save(counted.select("key", "last"), "lines-shared")  # a table, so that hot keys can be split in the join
     hit = found.join(shared, "key").where("doc_id <> last")

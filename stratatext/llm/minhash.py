@@ -77,8 +77,8 @@ def buckets(short: pa.Array) -> np.ndarray:
     return mix(keys[:, 0, :, None] * SEED + mix(keys[:, 1, None, :] + number)).reshape(len(keys), -1)
 
 
-def table_rows(classes: DataFrame) -> DataFrame:
-    """``bucket, turn, first, id, n``: classes in the buckets that seem to hold several.
+def table_rows(classes: DataFrame) -> tuple[DataFrame, str]:
+    """A written table ``bucket, turn, first, id, n``: classes in the buckets that seem to hold several.
 
     ``turn`` orders a bucket's classes, differently in each table; ``first`` marks the
     tables whose neighbours are tried first.
@@ -97,7 +97,9 @@ def table_rows(classes: DataFrame) -> DataFrame:
                 turn = mix(ids.astype(np.uint64) * SEED + table.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[row, table].view(np.int64), turn.view(np.int64), table % (COLLECTION + 1) == 0, ids, sizes)], schema=schema)
 
-    return classes.select("id", "n", "short").mapInArrow(run, "bucket long, turn long, first boolean, id long, n long")
+    rows = save(classes.select("id", "n", "short").mapInArrow(run, "bucket long, turn long, first boolean, id long, n long"), "table-rows")
+    seen.destroy()
+    return rows
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     valid = signed.where("doc_id is not null and n_shingles > 0")
     best = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "short"))
     classes, _ = save(valid.groupBy("set_key").agg(best.alias("c")).select("set_key", "c.*"), "classes")
-    tables, tables_path = save(table_rows(classes), "table-rows")
+    tables, tables_path = table_rows(classes)
     named = rows.where("doc_id is not null")
     links = confirmed(neighbours(tables.where("first")), named, size)
     comps = components(links)

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Bits per expected hash, and the bounds of a filter (2^29 bits are 64 MB).
-BITS_PER_HASH = 16
+BITS_PER_HASH = 8
 LEAST_BITS, MOST_BITS = 20, 29
 #: A merged range of the filter covers so many bits.
 RANGE_BITS = 20

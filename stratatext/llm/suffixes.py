@@ -143,6 +143,8 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield rows_batch(out, context_schema)
 
     edge, edge_path = save(rows.mapInArrow(contexts, "doc_id long, first long, context binary").join(leads, ["doc_id", "first"]).select("doc_id", "first", "n", "context"), "edges")
+    seen.destroy()
+    wanted.destroy()
 
     def strings(context: bytes) -> np.ndarray:
         return window_hashes(np.frombuffer(context, np.uint8), length, powers_of(0))
@@ -169,6 +171,8 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=start_schema)
 
     single, single_path = save(edge.mapInArrow(starts, "x long, y long, doc_id long, start long, n long"), "starts")
+    twice.destroy()
+    lone.destroy()
     equal, equal_path = save(single.groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y"), "repeated-starts")
     merged = single.where("n = 1").join(equal, ["x", "y"]).select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"))
     out, _ = save(whole.union(merged), "repeats")
