@@ -244,6 +244,31 @@ def test_passages(spark, docs, none):
     assert {4, 5, 6, 7} <= {d for r in passages.near_passages(docs).collect() for d in r[:2]}
 
 
+def changed(text, *places):
+    w = text.split()
+    for i in places:
+        w[i] = f"changed{i}"
+    return " ".join(w)
+
+
+def test_near_stretches_share_a_key():
+    missed = 0
+    for i in range(500):
+        one = words(2000 + i, 50)
+        text, key, *_ = passages.candidates([one, changed(one, 20 + i % 10)], passages.WINDOW)
+        missed += not set(key[text == 0].tolist()) & set(key[text == 1].tolist())
+    assert missed == 0
+
+
+def test_passages_grow_through_changes():
+    one = words(900, 400).split()
+    other = changed(" ".join(one), 60, 130, 200).split()
+    other[260:260] = ["put", "in"]
+    x, y = (passages.shingle_row(" ".join(w)) for w in (one, other))
+    got_, agreed = passages.passages(x, y, [(0, 10, 20, 0, 10, 20)], passages.WINDOW)
+    assert [g[:3] for g in got_] == [(0, 0, 396)] and len(agreed) == 1
+
+
 def test_filters_find_every_repeat(spark):
     from stratatext.llm.seen import maybe_repeated, twice_seen
 
