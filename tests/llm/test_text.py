@@ -244,6 +244,16 @@ def test_passages(spark, docs, none):
     assert {4, 5, 6, 7} <= {d for r in passages.near_passages(docs).collect() for d in r[:2]}
 
 
+def plain_passages(texts, window=passages.WINDOW):
+    """Pairs (larger, smaller) of documents with stretches of a similarity of 0.8 or more."""
+    rows = {}
+    for k, t in texts:
+        w = t.lower().split()
+        rows[k] = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    sets = {k: [set(r[i : i + window]) for i in range(len(r) - window + 1)] for k, r in rows.items()}
+    return {(a, b) for a in sets for b in sets if a > b and any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b] if len(x & y) > 30)}
+
+
 def changed(text, *places):
     w = text.split()
     for i in places:
@@ -251,6 +261,23 @@ def changed(text, *places):
     return " ".join(w)
 
 
+def test_passages_in_chains_and_twos(spark):
+    """Every link is a row, or both its ends are linked to one smaller document."""
+    texts = []
+    for i in range(12):  # A-B and B-C agree, A-C does not
+        one = words(500 + i, 50)
+        texts += [(10 * i, f"{words(600 + i, 10)} {changed(one, 15)} {words(620 + i, 10)}"), (10 * i + 1, f"{words(640 + i, 12)} {one} {words(660 + i, 8)}"), (10 * i + 2, f"{words(680 + i, 9)} {changed(one, 33)} {words(700 + i, 11)}")]
+    for i in range(6):  # B has one passage of A, and another one of C that A has in a third form
+        one, two = words(720 + i, 50), words(740 + i, 50)
+        texts += [(200 + 10 * i, f"{one} {words(760 + i, 9)} {changed(two, 12, 30)}"), (201 + 10 * i, f"{two} {words(780 + i, 9)} {one}"), (202 + 10 * i, f"{words(800 + i, 9)} {changed(two, 30)}")]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in texts], COLUMNS)
+    rows = {(r["doc_id"], r["other_id"]) for r in passages.near_passages(df).collect()}
+    want = plain_passages(texts)
+    assert rows <= want
+    near = {k: {b for a, b in rows if a == k} | {k} for k, _ in texts}
+    assert not [p for p in want - rows if not (near[p[0]] & near[p[1]])]
+
+
 def test_near_stretches_share_a_key():
     missed = 0
     for i in range(500):
