@@ -231,6 +231,39 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.without_leaks(df, bench).columns == df.columns
 
 
+def plain_overlap(item, text, share=0.8, run=25):
+    """Edit distance of the item to the text's nearest stretch, or a run, by plain tables."""
+    a, b = decontaminate.tokens(item), decontaminate.tokens(text)
+    row, runs, longest = [0] * (len(b) + 1), [0] * (len(b) + 1), 0
+    for i, x in enumerate(a):
+        new, held = [i + 1], [0]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            held.append(runs[j] + 1 if x == y else 0)
+        row, runs, longest = new, held, max(longest, *held)
+    return len(a) - min(row) >= share * len(a) or longest >= run
+
+
+def test_decontamination_of_edited_items(spark):
+    """Tokens changed, put in and left out, at every length, and long runs of longer items."""
+    rng = np.random.default_rng(12)
+    items = [(i, words(3000 + i, n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 15, 16, 20, 25, 30, 45, 59, 59])]
+    texts = []
+    for i, item in items:
+        for k in range(12):
+            w = item.split()
+            for p in sorted(rng.choice(len(w), min(len(w), len(w) // 5 + k // 8), replace=False).tolist(), reverse=True):
+                w[p : p + 1] = [["other"], [w[p], "put"], [], ["other"]][(k + p) % 4]
+            texts.append((i * 100 + k, f"{words(4000 + i, 12)} {' '.join(w)} {words(4100 + i, 12)}"))
+        texts.append((i * 100 + 50, f"{words(4200 + i, 5)} {' '.join(item.split()[5:45])} {words(4300 + i, 5)}"))
+        texts.append((i * 100 + 51, " ".join(["other" if len(item.split()) > 3 and p % 4 == 3 and p // 4 < len(item.split()) // 5 else x for p, x in enumerate(item.split())])))
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in texts], COLUMNS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()}
+    assert found == {(k, i) for k, t in texts for i, item in items if plain_overlap(item, t)}
+    assert {(2050, 20), (1351, 13)} <= found
+
+
 def test_passages(spark, docs, none):
     shared = words(300, 60)
     near = shared.split()
