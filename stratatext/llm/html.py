@@ -6,9 +6,10 @@ to the cut's terminals.  Blocks next to each other, and blocks under one parent,
 joined by edges that cost something to cut, more the closer they are in the tree.  The
 minimum cut is the labelling of least total cost.
 
-Costs are log odds: fixed ones for the tags and names that say what a part of a page
-is, and ones learned over all pages for the look of a block (length, share of links,
-own tag, sentence marks), from the blocks that the fixed ones decide.
+Costs are log odds: fixed ones for the tags that say what a part of a page is, bounded
+ones for names, and ones learned over all pages for the look of every block (length,
+share of links, own tag, sentence marks), from the blocks that the others decide.  A
+part that holds the page's content hands down no evidence against it.
 """
 
 from __future__ import annotations
@@ -41,7 +42,14 @@ NAMES = {
     "subscribe": -9.0, "subscription": -9.0, "signup": -9.0, "login": -9.0, "search": -9.0, "copyright": -9.0, "legal": -9.0, "pager": -9.0, "pagination": -9.0, "toolbar": -9.0,
 }
 #: Costs of cutting between neighbours, and between blocks of one parent.
-NEXT, SIBLING = 0.5, 1.0
+NEXT, SIBLING = 1.0, 2.0
+#: Bound of the names' log odds; a block's edges can outweigh it.
+NAME_MOST = 3.0
+#: Share of a page's text in a part that holds a title or article, and in any part, from
+#: which it is what the page's content stands in.
+HOLDS, HOLDS_ALL = 0.5, 0.9
+#: Tags that have a look of their own.
+LOOKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Evidence at least this strong labels a block for learning.
 SURE = 3.0
 
@@ -51,15 +59,16 @@ _PART = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "parent", "depth", "evidence", "tag", "links")
+    __slots__ = ("text", "parent", "group", "depth", "evidence", "tag", "links")
 
     def __init__(self, text: str, parent: int, depth: int, evidence: float, tag: str, links: float):
-        self.text, self.parent, self.depth, self.evidence, self.tag, self.links = text, parent, depth, evidence, tag, links
+        self.text, self.parent, self.group, self.depth, self.evidence, self.tag, self.links = text, parent, parent, depth, evidence, tag, links
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, white space within a block made one space."""
-    stack = [("", 0, 0.0)]  # tag, number, evidence
+    stack = [("", 0)]  # tag, number
+    parts = [("", 0, 0.0, 0.0)]  # tag, number of the part above, log odds of tag and of names
     out: list[Block] = []
     text: list[str] = []
     linked = number = 0
@@ -70,7 +79,7 @@ def blocks(page: str) -> list[Block]:
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
             at = next(x for x in reversed(stack) if x[0] not in INLINE)
-            out.append(Block(words, at[1], len(stack), at[2], at[0], min(1.0, linked / len(words))))
+            out.append(Block(words, at[1], len(stack), 0.0, at[0], min(1.0, linked / len(words))))
         text.clear()
         linked = 0
 
@@ -118,23 +127,54 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if tag in ALIKE:
                 pop_to(tag, ALIKE[tag])
-            evidence = TAGS.get(tag, 0.0)
+            named = 0.0
             if "=" in m[3]:
                 for names in _NAME.findall(m[3]):
-                    evidence += sum(NAMES.get(p, 0.0) for p in set(_PART.findall(names.lower())))
+                    named += sum(NAMES.get(p, 0.0) for p in set(_PART.findall(names.lower())))
             number += 1
-            # A part that is no content holds none, whatever is inside it.
-            above = stack[-1][2]
-            stack.append((tag, number, min(above, above + evidence) if above <= -SURE else (evidence if evidence <= -SURE else above + evidence)))
+            parts.append((tag, stack[-1][1], TAGS.get(tag, 0.0), max(-NAME_MOST, min(NAME_MOST, named))))
+            stack.append((tag, number))
     close()
+    found = evidence(parts, out)
+    held = Counter(b.parent for b in out)
+    held.update(above for _, above, _, _ in parts[1:])
+    for b in out:
+        b.evidence = found[b.parent]
+        b.group = parts[b.parent][1] if held[b.parent] == 1 else b.parent  # a paragraph stands among its siblings
     return out
 
 
+def evidence(parts: list[tuple[str, int, float, float]], some: list[Block]) -> list[float]:
+    """Log odds of each part's text from the tags and names of it and of what it stands in."""
+    n = len(parts)
+    never = [False] * n  # in a part whose tag alone says that it is no content; forms can be around pages
+    size, titled = [0] * n, [False] * n
+    for i, (tag, above, of_tag, _) in enumerate(parts):
+        never[i] = never[above] or (of_tag <= -SURE and tag != "form")
+        titled[i] = tag in ("article", "main", "h1") and not never[i]
+    for b in some:
+        if not never[b.parent]:
+            size[b.parent] += len(b.text)
+    for i in range(n - 1, 0, -1):
+        size[parts[i][1]] += size[i]
+        titled[parts[i][1]] |= titled[i]
+    tags, names = [0.0] * n, [0.0] * n
+    for i in range(1, n):
+        tag, above, of_tag, named = parts[i]
+        around = tag in ("html", "body", "main", "article") or size[i] >= HOLDS_ALL * size[0] > 0 or (titled[i] and size[i] >= HOLDS * size[0] > 0)
+        if around and not never[i]:
+            of_tag, named = max(0.0, of_tag), max(0.0, named)
+        # A part that is no content holds none, whatever is inside it.
+        tags[i] = min(tags[above], tags[above] + of_tag) if tags[above] <= -SURE else (of_tag if of_tag <= -SURE else tags[above] + of_tag)
+        names[i] = min(names[above], named) if names[above] < 0 else (named or names[above])
+    return [t + x if x >= 0 else min(t, 0.0) + x for t, x in zip(tags, names, strict=True)]
+
+
 def looks(b: Block) -> list[str]:
     """Names of what a block looks like, for the learned costs."""
     n = len(b.text)
     marks = sum(b.text.count(c) for c in ".,;!?")
-    return [f"tag {b.tag}", f"length {min(12, n.bit_length())}", f"links {round(4 * b.links)}", f"marks {min(4, marks)}", f"end {b.text[-1] in '.!?'}"]
+    return [f"tag {b.tag if b.tag in LOOKS else 'other'}", f"length {min(12, n.bit_length())}", f"links {round(4 * b.links)}", f"marks {min(4, marks)}", f"end {b.text[-1] in '.!?'}"]
 
 
 def edges(some: list[Block]) -> list[tuple[int, int, float]]:
@@ -143,9 +183,9 @@ def edges(some: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(some):
         if i:
             out.append((i - 1, i, NEXT / (1 + abs(b.depth - some[i - 1].depth))))
-        if b.parent in last:
-            out.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
+        if b.group in last:
+            out.append((last[b.group], i, SIBLING))
+        last[b.group] = i
     return out
 
 
@@ -216,7 +256,7 @@ def _flow(rest: list[int], costs: list[float], near: list[dict[int, float]]) ->
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
-    """Log odds of each look, from the blocks of all pages that fixed evidence decides."""
+    """Log odds of each look, from the blocks of all pages that tags and names decide."""
     schema = pa.schema([("look", pa.string()), ("yes", pa.int64()), ("no", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +271,15 @@ def learn(pages: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([yes[x] for x in names], pa.int64()), pa.array([no[x] for x in names], pa.int64())], schema=schema)
 
     counts = pages.mapInArrow(run, "look string, yes long, no long").groupBy("look").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    # Tag names are the only open set among the looks; rare ones say nothing.
-    got = {r["look"]: (r["yes"], r["no"]) for r in counts.orderBy((F.col("yes") + F.col("no")).desc(), "look").limit(200).collect()}
+    # As many rows as there are looks, a fixed number.
+    got = {r["look"]: (r["yes"], r["no"]) for r in counts.collect()}
     all_yes, all_no = got.get("all", (0, 0))
     return {k: 0.5 * math.log((y + 1) / (all_yes + 2) * (all_no + 2) / (n + 1)) for k, (y, n) in got.items() if k != "all"}
 
 
 def main_text(page: str, learned: dict[str, float]) -> str:
     some = blocks(page)
-    costs = [b.evidence + sum(learned.get(x, 0.0) for x in looks(b)) * (abs(b.evidence) < SURE) for b in some]
+    costs = [b.evidence + sum(learned.get(x, 0.0) for x in looks(b)) for b in some]
     return "\n".join(b.text for b, keep in zip(some, minimum_cut(costs, edges(some)), strict=True) if keep)
 
 

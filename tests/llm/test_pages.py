@@ -60,6 +60,26 @@ def test_main_text(spark):
     assert len(out) == 6 and html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", [("<body class='has-sidebar'>", ""), ("<main class='no-comments'>", "</main>"), ("<div id='page' class='with-header share-enabled'>", "</div>"), ("<form id=aspnet>", "</form>")])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_names_of_what_holds_the_page(around, article):
+    """A name or form around the page doesn't take its content away; one in it still counts."""
+    text = "".join(f"<p>Sentence number {i} of the article, which goes on for a while, as they do.</p>" for i in range(6))
+    page = f"<nav><a href=/a>One</a></nav>{around[0]}<{article}><h1>Title</h1>{text}<div class=comments><p>I like this.</p></div></{article}><aside>Read this too</aside>{around[1]}<footer>All</footer>"
+    got = html.main_text(page, {"tag p": 1.0, "tag h1": 1.0}).split("\n")
+    assert [x for x in got if x.startswith("Sentence")] == [f"Sentence number {i} of the article, which goes on for a while, as they do." for i in range(6)]
+    assert not {"One", "Read this too", "All", "I like this."} & {*got}
+
+
+def test_one_keyword_is_outweighed():
+    """Edges and looks can overturn a name, which is what the cut is for."""
+    text = "".join(f"<p>Sentence number {i} of the article, which goes on for a while.</p>" for i in range(4))
+    inner = "<p class=notice>One of the paragraphs, of the same kind, has a listed name.</p>"
+    page = f"<article><h1>Title</h1>{text}{inner}{text}</article>"
+    assert "listed name" in html.main_text(page, {})
+    assert "listed name" not in html.main_text(page, {"tag p": -9.0})
+
+
 def test_cut_is_minimal():
     import itertools
 
