@@ -149,12 +149,16 @@ def passage_lookup(spark, sf):
     return lookup.exact_passages(spread(C.document_corpus(spark, sf), "id"), C.benchmark_queries(spark, sf), 3).select("query_id", "rank", "id")
 
 
+def asked_passages(spark, sf):
+    """All turns of all conversations, and the benchmark's items under negative ids."""
+    turns = C.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return turns.unionByName(C.benchmark_queries(spark, sf).withColumn("query_id", -1 - F.col("query_id")))
+
+
 @query("passage_lookup_fuzzy")
 def passage_lookup_fuzzy(spark, sf):
     corpus = C.quote_corpus(C.quotes(spark, sf))
-    asked = C.read(spark, sf, "conversations").filter("role = 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    asked = asked.unionByName(C.benchmark_queries(spark, sf).withColumn("query_id", -1 - F.col("query_id")))
-    return lookup.find_passages(bm25.build_index(corpus), corpus, asked, 0.3, 3).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "how")
+    return lookup.find_passages(bm25.build_index(corpus), corpus, asked_passages(spark, sf), 0.3, 3).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "how")
 
 
 @query("section_expansion", sql("""SELECT quote_id FROM quotes WHERE len(list_filter(section_path, lambda s: contains(s, 'The'))) > 0

@@ -223,3 +223,12 @@ def test_stages_of_unlisted_editions(spark):
     searched = spark.createDataFrame([(7, 0, "zz"), (7, 1, "e1"), (7, 2, None)], "query_id long, stage int, edition_id string")
     got = {(r["stage"], r["id"], r["rank"]) for r in _vector_by_stage(corpus, vectors, searched, 5, 0.1).collect()}
     assert got == {(0, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2)}
+
+
+def test_fuzzy_lookup_asks_for_all_turns(spark):
+    from registry.requests import asked_passages
+
+    sf = "/root/testdata/sf0.001"
+    asked = asked_passages(spark, sf).where("query_id >= 0")
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    assert asked.count() == turns.count() > turns.where("role = 'system'").count()
