@@ -310,18 +310,22 @@ def judge_scores(spark, sf):
     return out.select("id", "s.*", CL.judge_passed(F.col("s")).alias("passed"))
 
 
-@query("repaired_json", sql("SELECT id, conv_id % 5 <> 4 OR turn % 4 < 3 AS readable FROM replies", "replies"))
+@query("repaired_json", sql("""SELECT id, conv_id % 5 <> 4 OR (turn % 4 < 3 AND turn % 8 <> 4) AS readable,
+   CASE WHEN conv_id % 5 = 4 AND turn % 8 <> 4 THEN CASE turn % 4 WHEN 0 THEN '{"a": [1, 2]}' WHEN 1 THEN '[1, {}]' WHEN 2 THEN '{"a": "b"}' END END AS value FROM replies""", "replies"))
 def repaired_json(spark, sf):
-    # Replies of the fifth kind also as prose before an object or list, and after a fence that is no JSON.
+    # Replies of the fifth kind also as prose before an object or list, after a fence that is no JSON,
+    # and with prose after the object, which no part of it forgives.
     prose = F.regexp_replace("reply", r"[{}\[\]`\"\\\\]", "")
     more = (
-        F.when(F.col("turn") % 4 == 0, F.concat(prose, F.lit(': {"a": [1, 2]}')))
+        F.when(F.col("turn") % 8 == 4, F.concat(F.lit('{"a": [1, 2]} '), prose))
+        .when(F.col("turn") % 4 == 0, F.concat(prose, F.lit(': {"a": [1, 2]}')))
         .when(F.col("turn") % 4 == 1, F.concat(prose, F.lit("\n[1, {}]")))
         .when(F.col("turn") % 4 == 2, F.concat(F.lit("```\n"), prose, F.lit('\n```\n{"a": "b"}')))
         .otherwise(F.col("reply"))
     )
     reply = F.when(F.col("conv_id") % 5 == 4, more).otherwise(F.col("reply"))
-    return replies(spark, sf).select("id", T.json_or_repaired(reply).isNotNull().alias("readable"))
+    found = replies(spark, sf).select("id", "conv_id", T.json_or_repaired(reply).alias("value"))
+    return found.select("id", F.col("value").isNotNull().alias("readable"), F.when(F.col("conv_id") % 5 == 4, F.col("value")).alias("value"))
 
 
 @query("parsed_routes", """SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 4 = 3 THEN 'open_ended' ELSE list_extract(['specific_time', 'general_definition', 'open_ended'], CAST(conv_id % 4 AS INT) + 1) END AS intent,
@@ -338,7 +342,7 @@ def parsed_routes(spark, sf):
 @query("output_validation", r"""SELECT answer_id, output_type, array_to_string(list_sort(list_filter(e, lambda x: x IS NOT NULL)), ',') AS errors, len(list_filter(e, lambda x: x IS NOT NULL)) = 0 AS passed FROM (
    SELECT conv_id * 1000 + turn AS answer_id, CASE WHEN conv_id % 3 = 0 THEN 'summary' WHEN conv_id % 3 = 1 THEN 'card' ELSE 'slide' END AS output_type,
      CASE conv_id % 3 WHEN 0 THEN [CASE WHEN length(t) < 1 OR length(t) > 100 THEN 'title' END, CASE WHEN length(b) < 10 OR length(b) > 600 THEN 'body' END, CASE WHEN turn % 2 = 0 THEN 'citations' END]
-       WHEN 1 THEN [CASE WHEN length(t) < 1 THEN 'front' END, CASE WHEN length(b) < 1 THEN 'back' END, CASE WHEN turn % 2 = 0 THEN 'citations' END]
+       WHEN 1 THEN [CASE WHEN length(t) < 1 THEN 'front' END, CASE WHEN length(b) < 1 OR turn % 4 = 1 THEN 'back' END, CASE WHEN turn % 2 = 0 THEN 'citations' END]
        ELSE [CASE WHEN turn < 1 THEN 'slide_number' END, CASE WHEN length(t) < 1 OR length(t) > 80 THEN 'title' END, CASE WHEN turn % 2 = 0 THEN 'sources' END] END AS e
    FROM (SELECT conv_id, turn, regexp_replace(split_part(text, chr(10), 1), '["\\]', '', 'g') AS t, regexp_replace(replace(text, chr(10), ' '), '["\\]', '', 'g') AS b FROM conversations))""")
 def output_validation(spark, sf):
@@ -349,7 +353,9 @@ def output_validation(spark, sf):
     l = lambda name, v: F.concat(F.lit(f'"{name}": ["'), v, F.lit('"]'))  # noqa: E731, E741
     k = F.col("conv_id") % 3
     summary = F.concat(F.lit("{"), F.concat_ws(", ", q("title", t), q("body", b), l("key_points", F.lit("x")), l("citations", cite)), F.lit("}"))
-    card = F.concat(F.lit("["), F.concat(F.lit("{"), F.concat_ws(", ", q("front", t), q("back", b), l("citations", cite)), F.lit("}")), F.lit("]"))
+    # Lists of two cards; the second lacks its back in every fourth turn.
+    one = lambda back: F.concat(F.lit("{"), F.concat_ws(", ", q("front", t), q("back", back), l("citations", cite)), F.lit("}"))
+    card = F.concat(F.lit("["), one(b), F.lit(", "), one(F.when(F.col("turn") % 4 == 1, "").otherwise(b)), F.lit("]"))
     slide = F.concat(F.lit('{"slides": [{"slide_number": '), F.col("turn").cast("string"), F.lit(", "), F.concat_ws(", ", q("title", t), l("body", F.lit("x")), l("sources", cite)), F.lit("}]}"))
     rows = C.read(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.when(k == 0, "summary").when(k == 1, "card").otherwise("slide").alias("output_type"),

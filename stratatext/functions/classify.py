@@ -162,7 +162,7 @@ def _score(doc: Column, axis: str) -> Column:
 
 def judge_scores(reply: Column) -> Column:
     """Struct of the four axis scores; an unreadable reply scores 0 everywhere."""
-    doc = F.try_parse_json(T.fenced_block(reply))
+    doc = T.strict_json(T.fenced_block(reply))
     return F.struct(
         *[F.coalesce(_score(doc, a), F.lit(0.0)).alias(a) for a in V.AXES],
         doc.isNull().alias("unreadable"),
@@ -179,7 +179,7 @@ def parse_route(reply: Column) -> Column:
     Unreadable replies fall back to open_ended at 0.5; unknown intents become
     open_ended; confidence is clamped to 0..1.
     """
-    doc = F.try_parse_json(T.fenced_block(reply))
+    doc = T.strict_json(T.fenced_block(reply))
     get = lambda field, kind="string": F.try_variant_get(doc, f"$.{field}", kind)
     intent = F.coalesce(get("intent"), get("query_type"), F.lit("open_ended"))
     confidence = F.coalesce(get("confidence", "double"), F.lit(0.5))

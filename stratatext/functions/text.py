@@ -161,14 +161,25 @@ def repair_json(text: Column) -> Column:
     return F.regexp_replace(out, r"\}\s*\n(\s*\{)", "},\n$1")
 
 
+def strict_json(text: Column) -> Column:
+    """The value of a text that is one JSON value and nothing else, else null.
+
+    Spark's parser stops after the first value.  Inside brackets, more values make more
+    elements; inside an object, a bracket too many is an error; so both forms are read.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when((F.size(listed) == 1) & alone, F.get(listed, F.lit(0)))
+
+
 def json_or_repaired(text: Column) -> Column:
-    """The first part of a reply that is JSON: a json fence, a fence, the text from the
-    first brace, the text from the first bracket; then the same parts repaired; else null.
+    """The first part of a reply that is JSON and nothing else: a json fence, a fence, the text
+    from the first brace, the text from the first bracket; then the same parts repaired; else null.
     """
     parts = [
         F.when(F.contains(text, F.lit("```json")), strip(F.get(F.split(F.get(F.split(text, "```json"), F.lit(1)), "```"), F.lit(0)))),
         F.when(F.contains(text, F.lit("```")), strip(F.get(F.split(text, "```"), F.lit(1)))),
         *[F.when(F.contains(text, F.lit(c)), strip(text.substr(F.instr(text, c), F.length(text)))) for c in "{["],
     ]
-    parses = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    parses = lambda c: F.when(strict_json(c).isNotNull(), c)
     return F.coalesce(*[parses(p) for p in parts], *[parses(repair_json(p)) for p in parts])

@@ -98,6 +98,9 @@ def test_judge_and_route_replies(spark):
     assert r[1]["r"]["confidence"] == 0.5
     j = spark.createDataFrame([('{"a": [1, 2,],}',), ('{"a": "x"\n"b": 1}',), ("{",)], "t string").select(T.json_or_repaired(F.col("t")).alias("j")).collect()
     assert [x["j"] is not None for x in j] == [True, True, False]
+    more = ['{"a":1},{"b":2}]', '{"a":1} trailing', "[1,2] x", '{"a":1}] x', '{"a":1}} x', '{"a":1}', "[1, 2]", "3", "", None]
+    strict = [r["v"] is not None for r in spark.createDataFrame([(t,) for t in more], "t string").select(T.strict_json(F.col("t")).alias("v")).collect()]
+    assert strict == [False] * 5 + [True] * 3 + [False] * 2
 
 
 def test_output_schemas(spark):
