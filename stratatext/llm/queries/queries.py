@@ -1,10 +1,10 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratatext.llm import bpe, decontaminate, html, lines, minhash, passages, quality, rans, suffixes, warc
+from stratatext.llm import bpe, decontaminate, html, lines, minhash, passages, private, quality, rans, spelling, suffixes, warc, whiten
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,18 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_shifted_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_sorted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.private_table(table(spark, sf_dir, "documents"))
