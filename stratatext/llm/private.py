@@ -9,9 +9,11 @@ run over the source and over the plain text; what the second finds and the first
 not is added, with the span of the source characters that it was made of.
 
 Restraint: a bare word "at" counts only where a disguised dot follows in the same
-address or the name before it looks like an account (a figure, point, dash, underscore); an at sign
-between spaces counts in these cases and before a common last label; bare dot words make a longer address of a plain one only before a common last label;
-a disguised span that overlaps a plain one of its kind must contain it.
+address or the name before it looks like an account (a figure, point, dash, underscore);
+an at sign between spaces counts in these cases and before a common last label; bare dot
+words make a longer address of a plain one only before a common last label; a disguised
+span that overlaps a plain one of its kind must contain it; spelled figures count in runs
+of three and more figures, with a spelled one close to another or to plain figures.
 
 Defined results: null texts are empty and have no spans; empty texts too; a null doc_id
 stays null; repeated rows are answered each; no documents give no rows; other columns
@@ -36,7 +38,7 @@ KINDS = ["email", "ip", "card", "phone"]
 #: The base kinds' patterns.  An address is found from its at sign, so that
 #: a long run of letters is read once; the pattern of the part behind it is the base's.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -164,18 +166,20 @@ class Transducers:
 
     def __init__(self):
         self.plain = self._characters()
-        kinds = "".join(map(re.escape, self.plain))
-        self.odd = re.compile(f"[{kinds}]")
+        self.known = frozenset(self.plain)
+        self.word = re.compile(r"[^\W\d_]+")
         words = {w: d for d, ws in DIGIT_WORDS.items() for w in ws.split()}
         self.digit = words
         one = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
         token = rf"(?:(?:double|triple)\s)?(?:{one}|[0-9]+)"
         between = rf"(?:[ ,()\-]{{1,3}}|\s(?:{'|'.join(DOT_WORDS.split())})\s|\.)"
-        self.spelled_word = re.compile(rf"(?<!\w)(?:{one})(?!\w)", re.I)
         self.number = re.compile(rf"(?<![\w+])(?:(?:plus\s|\+\s?))?{token}(?:{between}{token}){{2,}}(?!\w)", re.I)
         self.part = re.compile(rf"(?P<plus>plus\s|\+\s?)|(?P<times>double|triple)\s(?P<word2>{one})|(?P<word>{one})|(?P<figures>[0-9]+)|(?P<dot>\s(?:{'|'.join(DOT_WORDS.split())})\s)|(?P<gap>[ ,()\-]{{1,3}})", re.I)
         self.figures = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl+(][0-9OoIl() .+-]{6,40}[0-9OoIl](?![A-Za-z0-9])")
         self.group = re.compile("[0-9OoIl]+")
+        # Figures are rare, so what starts with one is found fast.
+        self.letter_by_figure = re.compile("[0-9+][OoIl]"), re.compile("[0-9](?<=[OoIl].)")
+        self.at_words, self.dot_words = frozenset(AT_WORDS.split()), frozenset([*DOT_WORDS.split(), *OTHER_SIGNS])
         signs = {**dict.fromkeys(AT_WORDS.split(), "@"), **dict.fromkeys(DOT_WORDS.split(), "."), **OTHER_SIGNS, "@": "@", ".": "."}
         self.signs = signs
         inner = "|".join(sorted(map(re.escape, signs), key=len, reverse=True))
@@ -212,18 +216,32 @@ class Transducers:
 
     # Each rule gives the edits of a text.
 
-    def characters(self, text: str) -> Edits:
-        if text.isascii():
+    def characters(self, text: str, words: set[str]) -> Edits:
+        if text.isascii() or not (here := self.known & set(text)):
             return []
-        return [(m.start(), m.end(), self.plain[m.group()]) for m in self.odd.finditer(text)]
-
-    def spelled(self, text: str) -> Edits:
+        odd = re.compile(f"[{''.join(map(re.escape, sorted(here)))}]")
+        return [(m.start(), m.end(), self.plain[m.group()]) for m in odd.finditer(text)]
+
+    def words(self, text: str) -> set[str]:
+        return set(self.word.findall(text.lower()))
+
+    def _close(self, text: str) -> bool:
+        """Whether a spelled figure stands close to another one, or next to figures."""
+        last = -100
+        for m in self.word.finditer(text):
+            if m.group().lower() in self.digit:
+                if m.start() - last <= 12 or any(c.isdigit() for c in text[max(0, m.start() - 3) : m.start()] + text[m.end() : m.end() + 3]):
+                    return True
+                last = m.end()
+        return False
+
+    def spelled(self, text: str, words: set[str]) -> Edits:
         """Figures for runs of three and more figures of which some are words.
 
         Gaps between two spelled figures go; other gaps stay as they are.
         """
         out: Edits = []
-        if len(self.spelled_word.findall(text)) < 2:
+        if not self.digit.keys() & words or not self._close(text):
             return out
         for run in self.number.finditer(text):
             parts = list(self.part.finditer(text, *run.span()))
@@ -244,8 +262,10 @@ class Transducers:
                     out.append((p.start(), p.end(), ""))
         return out
 
-    def letters_as_figures(self, text: str) -> Edits:
+    def letters_as_figures(self, text: str, words: set[str]) -> Edits:
         out: Edits = []
+        if not any(p.search(text) for p in self.letter_by_figure):
+            return out
         for run in self.figures.finditer(text):
             figures = sum(c.isdigit() for c in run.group())
             groups = [g for g in self.group.finditer(text, *run.span()) if any(c.isdigit() for c in g.group()) or text[g.start() - 1 : g.start()] == "+"]
@@ -254,7 +274,7 @@ class Transducers:
                 out += [(k, k + 1, FIGURES[text[k]]) for k in letters]
         return out
 
-    def signs_of(self, text: str) -> Edits:
+    def signs_of(self, text: str, words: set[str]) -> Edits:
         """At, dot and a few other signs for their disguises; spaces around them go with them."""
         found: list[tuple[int, int, str, int]] = []
         spaced = lambda b, e: (b - (len(text[max(0, b - 2) : b]) - len(text[max(0, b - 2) : b].rstrip(" "))), e + (len(text[e : e + 2]) - len(text[e : e + 2].lstrip(" "))))
@@ -267,9 +287,12 @@ class Transducers:
             if (span := spaced(at, at + 1)) != (at, at + 1):
                 found.append((*span, "@", 1))
             at = text.find("@", at + 1)
-        found += [(*m.span(), self.signs[m[1].lower()], 4) for m in self.capitals.finditer(text)]
-        found += [(*m.span(), "@", 2) for m in self.bare_at.finditer(text)]
-        found += [(*m.span(), self.signs[m[1].lower()], 3) for m in self.bare_dot.finditer(text)]
+        if "AT" in text and "DOT" in text:
+            found += [(*m.span(), self.signs[m[1].lower()], 4) for m in self.capitals.finditer(text)]
+        if self.at_words & words:
+            found += [(*m.span(), "@", 2) for m in self.bare_at.finditer(text)]
+        if self.dot_words & words:
+            found += [(*m.span(), self.signs[m[1].lower()], 3) for m in self.bare_dot.finditer(text)]
         out: Edits = []
         for begin, end, new, _ in sorted(found, key=lambda x: (x[0], x[3])):
             if not out or begin >= out[-1][1]:
@@ -279,9 +302,12 @@ class Transducers:
     def chain(self, text: str) -> list[Rewritten]:
         """The texts of all transducers that changed something, first to last."""
         out: list[Rewritten] = []
+        words: set[str] = set()
         for rule in (self.characters, self.spelled, self.letters_as_figures, self.signs_of):
             now = out[-1].text if out else text
-            if edits := rule(now):
+            if rule == self.spelled:
+                words = self.words(now)
+            if edits := rule(now, words):
                 out.append(Rewritten(now, edits))
         return out
 
