@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratatext import values as V
@@ -445,3 +447,33 @@ def cleaned_generated_text(spark, sf):
     raw = F.concat(F.lit("intro ```txt\n**"), F.col("text"), F.lit("**\n```\n---"))
     raw = F.when(F.contains("text", F.lit("\n")), F.concat(F.lit("intro ```txt\n"), F.col("text"), F.lit("\n```\n---"))).otherwise(raw)
     return C.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.sha2(T.clean_generated(raw), 256).alias("text_hash"))
+
+
+# Documents as records in three batches: ids that repeat every 700, hashes of whole texts.
+CTES["led"] = ([], "SELECT doc_id AS ord, 'q' || doc_id % 700 AS quote_id, sha256(coalesce(text, '')) AS content_hash, doc_id % 3 AS batch FROM documents")
+
+
+def _ledger_sql() -> str:
+    """Each batch against what the batches before it inserted: by hash, then by id."""
+    parts = []
+    for n in range(3):
+        known = " UNION ALL ".join(f"SELECT quote_id, content_hash FROM i{k}" for k in range(n))
+        fresh = f"AND content_hash NOT IN (SELECT content_hash FROM ({known})) AND quote_id NOT IN (SELECT quote_id FROM ({known}))" if n else ""
+        parts.append(f"""i{n} AS (SELECT ord, quote_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY ord) AS r2 FROM (
+            SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY ord) AS r1 FROM led WHERE batch = {n} {fresh}) WHERE r1 = 1) WHERE r2 = 1)""")
+    return ", " + ", ".join(parts) + " SELECT ord, quote_id, content_hash FROM i0 UNION ALL SELECT * FROM i1 UNION ALL SELECT * FROM i2"
+
+
+@query("ingest_ledger", sql(_ledger_sql(), "led"))
+def ingest_ledger(spark, sf):
+    """Three batches into the stored table with its key folders; one batch comes twice."""
+    from stratatext.session import shared_folder
+    from stratatext.sources import keyed
+
+    k = F.col("doc_id")
+    records = C.read(spark, sf, "documents").select(
+        k.alias("ord"), F.concat(F.lit("q"), (k % 700).cast("string")).alias("quote_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), (k % 3).alias("n"))
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    for n in (0, 1, 1, 2):
+        keyed.append_batch(records.where(F.col("n") == n).drop("n"), path, n, ["ord"])
+    return keyed.read_batches(spark, path)

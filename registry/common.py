@@ -55,6 +55,11 @@ def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def short_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The first four words of each benchmark text."""
+    return benchmark_queries(spark, sf).select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
+
+
 def document_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), "text", F.col("source").alias("edition_id"), "lang"
@@ -188,6 +193,7 @@ CTES: dict[str, tuple[list[str], str]] = {
               FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
     ),
     "qsrc": ([], "SELECT item_id AS query_id, text FROM benchmark"),
+    "qshort": ([], "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS text FROM benchmark"),
     "csrc": ([], "SELECT doc_id AS id, doc_id AS o1, 0 AS o2, text, 1 AS times, source AS edition_id, lang FROM documents"),
     "qcsrc": (["quotes"], "SELECT quote_id AS id, doc_id AS o1, start_line AS o2, text, 1 AS times, edition_id, type FROM quotes"),
     "qcsrcb": (

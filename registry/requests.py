@@ -304,6 +304,29 @@ def stream_postings(spark, sf):
     return ST.read_postings(spark, out).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
 
 
+CTES["csrc_live"] = ([], """SELECT doc_id AS id, doc_id AS o1, 0 AS o2, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 0 THEN text || ' ' || text ELSE text END AS text, 1 AS times
+    FROM documents WHERE doc_id % 5 = 0 OR doc_id % 11 <> 0""")
+C.bm25_ctes("lv", "csrc_live", "qshort")
+
+
+@query("stream_segments", sql("SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM lv_ranked WHERE rank <= 5", "lv_ranked"))
+def stream_segments(spark, sf):
+    """All documents, then changed and deleted ones, then some a second time: each counts once."""
+    from stratatext.operators.blockmax import block_search
+
+    docs = C.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), "text", F.lit(False).alias("deleted"))
+    out, state = _folders(spark)
+    k = F.col("id")
+    changed = docs.where((k % 7 == 0) | (k % 11 == 0)).withColumn("text", F.when(k % 7 == 0, F.concat("text", F.lit(" "), "text")).otherwise(F.col("text"))).withColumn("deleted", k % 11 == 0)
+    for part in (docs, changed, docs.where(k % 5 == 0)):  # three files, three micro-batches
+        part.coalesce(1).write.mode("append").parquet(f"{out}-arrivals")
+    arrivals = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}-arrivals")
+    ST.segment_stream(arrivals, out, state).awaitTermination()
+    ST.merge_segments(spark, out, 2)
+    found = block_search(ST.read_segments(spark, out), C.short_queries(spark, sf), 5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 @query("stream_ingest", """SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text""")
 def stream_ingest(spark, sf):
     schema = C.read(spark, sf, "documents").schema

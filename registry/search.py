@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stratatext.operators import bm25, fusion, vectors
+from stratatext.operators import blockmax, bm25, fusion, ivf, vectors
 from stratatext.operators import quotes as QT
+from stratatext.session import shared_folder
+from stratatext.sources import keyed
 
 from . import common as C
 from .common import CTES, sql
@@ -87,6 +91,39 @@ def bm25_frequent_terms(spark, sf):
     return bm25.type_breakdown(bm25.build_index(C.document_corpus(spark, sf)), 50).withColumn("idf", F.round("idf", 6))
 
 
+# -- the stored index in blocks; short queries are the first four words of a benchmark text
+
+C.bm25_ctes("ds", "csrc", "qshort")
+
+
+def new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_blocks(spark, sf):
+    folder = new_folder(spark, "blocks")
+    blockmax.write_segment(C.document_corpus(spark, sf), folder, carry=["edition_id", "lang"])
+    return blockmax.read_index(spark, folder)
+
+
+@query("blockmax_topk", sql(f"SELECT {RANKED} FROM ds_ranked WHERE rank <= 5", "ds_ranked"))
+def blockmax_topk(spark, sf):
+    """The index is written, opened from its folder, and searched with blocks skipped."""
+    return ranked(blockmax.block_search(stored_blocks(spark, sf), C.short_queries(spark, sf), 5))
+
+
+@query("blockmax_filtered", sql(
+    """SELECT query_id, CAST(r2 AS INT) AS rank, id, round(score, 6) AS score FROM (
+         SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY r.rank) AS r2 FROM ds_ranked r JOIN csrc c ON c.id = r.id
+         WHERE (query_id % 3 = 0 OR c.edition_id = 'src' || query_id % 4) AND (query_id % 2 = 0 OR c.lang IN ('en', 'de'))) WHERE r2 <= 4""", "ds_ranked", "csrc"))
+def blockmax_filtered(spark, sf):
+    """Every query with an edition and a list of languages of its own, or without."""
+    q = F.col("query_id")
+    asked = C.short_queries(spark, sf).withColumn("edition", F.when(q % 3 != 0, F.concat(F.lit("src"), (q % 4).cast("string")))).withColumn(
+        "langs", F.when(q % 2 != 0, F.array(F.lit("en"), F.lit("de"))))
+    return ranked(blockmax.block_search(stored_blocks(spark, sf), asked, 4, match={"edition_id": "edition", "lang": "langs"}))
+
+
 # -- vectors: the query vector of a benchmark item is the embedding of that number
 
 CTES["v_scores"] = ([], """SELECT b.item_id AS query_id, e.vec_id AS id, e.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score
@@ -131,6 +168,24 @@ def vector_topk_blocks(spark, sf):
         vector_corpus(spark, sf), vector_queries(spark, sf), 4, 0.1, query_block=16, corpus_chunk=200))
 
 
+@query("vector_cells", sql(f"SELECT {RANKED} FROM v_ranked WHERE rank <= 10 AND score >= 0.2", "v_ranked"))
+def vector_cells(spark, sf):
+    """The exact search over stored cells: those out of reach are skipped."""
+    folder = new_folder(spark, "cells")
+    ivf.write_cells(vector_corpus(spark, sf), folder)
+    return ranked(ivf.cell_search(ivf.read_cells(spark, folder), vector_queries(spark, sf), 10, 0.2))
+
+
+@query("embedding_upsert_folders", """SELECT vec_id AS id, CASE WHEN vec_id % 50 < 3 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 100 = 0""")
+def embedding_upsert_folders(spark, sf):
+    """Two upserts into one stored table; the second rewrites the folders it touches."""
+    folder, base = new_folder(spark, "vectors"), vector_corpus(spark, sf)
+    keyed.upsert_partitions(base, folder)
+    changed = base.where("id % 50 < 3").withColumn("label", (F.col("label") + 100).cast("int"))
+    keyed.upsert_partitions(changed.unionByName(base.where("id % 100 = 0").withColumn("id", F.col("id") + 1000000)), folder)
+    return spark.read.parquet(folder).select("id", "label")
+
+
 @query("embedding_upsert", """SELECT vec_id AS id, CAST(sum(x) AS DOUBLE) AS total, label FROM (
     SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(round(v * 1000) AS BIGINT))) * CASE WHEN label < 3 THEN 2 ELSE 1 END AS x, CASE WHEN label < 3 THEN label + 100 ELSE label END AS label FROM embeddings) GROUP BY ALL""")
 def embedding_upsert(spark, sf):
