@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
     """True when ``df`` has at most ``limit`` rows and about ``max_bytes`` of content.
 
@@ -91,5 +101,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     The keys together must be (nearly) unique, so that no task gets a hot one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
+    try:
+        splits = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
+    except UnsupportedOperationException:  # no mere scan: a join that is not planned yet
+        return df.repartition(*keys)
     return df.repartition(*keys) if splits < cores else df
