@@ -13,7 +13,7 @@ address or the name before it looks like an account (a figure, point, dash, unde
 an at sign between spaces counts in these cases and before a common last label; bare dot
 words make a longer address of a plain one only before a common last label; a disguised
 span that overlaps a plain one of its kind must contain it; spelled figures count in runs
-of three and more figures, with a spelled one close to another or to plain figures.
+of three and more figures with two and more spelled ones.
 
 Defined results: null texts are empty and have no spans; empty texts too; a null doc_id
 stays null; repeated rows are answered each; no documents give no rows; other columns
@@ -226,17 +226,17 @@ class Transducers:
         return set(self.word.findall(text.lower()))
 
     def _close(self, text: str) -> bool:
-        """Whether a spelled figure stands close to another one, or next to figures."""
+        """Whether a spelled figure stands close to another one."""
         last = -100
         for m in self.word.finditer(text):
             if m.group().lower() in self.digit:
-                if m.start() - last <= 12 or any(c.isdigit() for c in text[max(0, m.start() - 3) : m.start()] + text[m.end() : m.end() + 3]):
+                if m.start() - last <= 24:
                     return True
                 last = m.end()
         return False
 
     def spelled(self, text: str, words: set[str]) -> Edits:
-        """Figures for runs of three and more figures of which some are words.
+        """Figures for runs of three and more figures of which two and more are words.
 
         Gaps between two spelled figures go; other gaps stay as they are.
         """
@@ -245,8 +245,8 @@ class Transducers:
             return out
         for run in self.number.finditer(text):
             parts = list(self.part.finditer(text, *run.span()))
-            if not any(p["word"] or p["word2"] for p in parts):
-                continue
+            if sum(bool(p["word"] or p["word2"]) for p in parts) < 2:
+                continue  # one word beside figures is more often an article
             for k, p in enumerate(parts):
                 before = parts[k - 1] if k else None
                 after = parts[k + 1] if k + 1 < len(parts) else None

@@ -187,7 +187,7 @@ def test_disguises_lead_back_to_the_source(kind, written):
 
 CLEAN = [
     "We met at noon. Look at example.com for more, or shop at stores.", "Le point de vue est bon; un deux trois soleil, six sept huit.", "Version 1.2.3 at 5.30pm on 2024-01-02, 10 dot 5.", "One two three four five six seven eight nine ten at last.",
-    "Привет, это обычный текст с буквами а о е и числом 12345678.", "jo@example.com dot the i. See jo@example.com at once.", "Meet @ 5.30pm. A @ B. Follow @ twitter today.", "100 000 000 000 000 000 l O and I 20 30", "",
+    "Привет, это обычный текст с буквами а о е и числом 12345678.", "jo@example.com dot the i. See jo@example.com at once.", "Meet @ 5.30pm. A @ B. Follow @ twitter today.", "100 000 000 000 000 000 l O and I 20 30", "Tel. +1 (848) 555-1373 un des autres; 4111 1111 1111 1111 Un.", "",
 ]
 
 
