@@ -136,46 +136,75 @@ def learn(docs: DataFrame, labels: DataFrame, how: Learning | None = None) -> li
     how = how or Learning()
     rows = labels.where("doc_id is not null and quality is not null").selectExpr("cast(doc_id as long) _id", "quality = 0 as bad")
     chosen = rows.orderBy(F.xxhash64("_id"), "_id", "bad").limit(how.fit_rows)  # at most fit_rows: safe to broadcast
-    picked = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(docs["doc_id"], docs["text"], "bad")
-    table, path = save(statistics(picked, "bad").withColumn("grow", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) > 0).coalesce(4), "labelled")
-    table = table.where(~base_failed()).cache()
+    # Only two columns of the documents are named, so that no other can clash with the labels'.
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    table, path = save(_labelled(picked), "labelled")
     try:
         return _cover(table, how)
     finally:
-        table.unpersist()
         drop(docs.sparkSession, path)
 
 
+def _labelled(picked: DataFrame) -> DataFrame:
+    """Features of labelled texts that pass the base, with ``bad`` and ``grow``.
+
+    The statistics are made in the tasks of the scan; their few rows are gathered after it.
+    """
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) > 0
+    return statistics(picked, "bad").where(~base_failed()).select("bad", part.alias("grow"), *[F.expr(e).alias(n) for n, e in FEATURES.items()]).repartition(4)
+
+
 def _cover(table: DataFrame, how: Learning) -> list[Rule]:
-    values = [F.expr(e).alias(n) for n, e in FEATURES.items()]
+    """Rules over the table of :func:`_labelled`, found on its features' bins.
+
+    A feature's bin is the number of its cuts that lie below the value, so a value is
+    above cut ``k`` where its bin is above ``k``.  Bins are written once; each round is
+    a grouped count of small integers.
+    """
     at = [i / (how.cuts + 1) for i in range(1, how.cuts + 1)]
-    cut_rows = table.select("bad", *values).groupBy("bad").agg(*[F.percentile_approx(n, at).alias(n) for n in FEATURES]).collect()
+    cut_rows = table.groupBy("bad").agg(*[F.percentile_approx(n, at).alias(n) for n in FEATURES]).collect()
     if len(cut_rows) < 2:
         return []
     cuts = {n: sorted({float(x) for r in cut_rows for x in r[n]}) for n in FEATURES}
-    rules: list[Rule] = []
-    while len(rules) < how.max_rules:
-        free = ~F.coalesce(_any(rules), F.lit(False))
-        rule = _grow(table.where(F.col("grow") & free), cuts, how)
-        rule = rule and _prune(table.where(~F.col("grow") & free), rule, how)
-        if not rule:
-            break
-        rules.append(rule)
-    return rules
+    below = lambda n: F.size(F.filter(F.lit(cuts[n]), lambda c: F.col(n) > c)).cast("short")
+    bins, path = save(table.select("bad", "grow", *[below(n).alias(n) for n in FEATURES]), "bins")
+    rules: list[Binned] = []
+    try:
+        while len(rules) < how.max_rules:
+            free = bins.where(~_any(rules))
+            rule = _grow(free.where("grow"), cuts, how)
+            rule = rule and _prune(free.where("not grow"), rule, how)
+            if not rule:
+                break
+            rules.append(rule)
+    finally:
+        drop(table.sparkSession, path)
+    return [Rule([(name, above, cuts[name][k]) for name, above, k in rule]) for rule in rules]
+
+
+#: A conjunction of (feature, above, number of the cut) over bins.
+Binned = list[tuple[str, bool, int]]
+
+
+def _holds(rule: Binned) -> Column:
+    out = F.lit(True)
+    for name, above, k in rule:
+        out = out & (F.col(name) > k if above else F.col(name) <= k)
+    return out
 
 
-def _any(rules: list[Rule]) -> Column:
+def _any(rules: list[Binned]) -> Column:
     out = F.lit(False)
     for r in rules:
-        out = out | r.column()
+        out = out | _holds(r)
     return out
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], how: Learning) -> Rule | None:
-    rule = Rule()
-    while len(rule.tests) < how.max_tests:
-        bins = [F.struct(F.lit(n).alias("name"), sum((F.expr(FEATURES[n]) > F.lit(c)).cast("int") for c in cuts[n]).alias("bin")) for n in FEATURES]
-        counts = rows.where(rule.column()).select("bad", F.explode(F.array(*bins)).alias("b")).groupBy("b.name", "b.bin").agg(F.sum(F.col("bad").cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).collect()
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], how: Learning) -> Binned | None:
+    rule: Binned = []
+    while len(rule) < how.max_tests:
+        bins = [F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in FEATURES]
+        counts = rows.where(_holds(rule)).select("bad", F.explode(F.array(*bins)).alias("b")).groupBy("b.name", "b.bin").agg(F.sum(F.col("bad").cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).collect()
         by: dict[str, dict[int, tuple[int, int]]] = {}
         for r in counts:
             by.setdefault(r["name"], {})[r["bin"]] = (r["p"], r["n"] - r["p"])
@@ -185,7 +214,7 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], how: Learning) -> Rule
         p0, n0 = sum(p for p, _ in one.values()), sum(n for _, n in one.values())
         if not p0 or not n0:
             break
-        best = (0.0, "", False, 0.0)
+        best = (0.0, "", False, 0.0, 0)
         for name in sorted(by):
             p = n = 0
             for k, limit in enumerate(cuts[name]):
@@ -193,17 +222,17 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], how: Learning) -> Rule
                 for above, (pp, nn) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
                     if pp >= how.least:
                         gain = pp * (log2(pp / (pp + nn)) - log2(p0 / (p0 + n0)))
-                        best = max(best, (gain, name, above, limit))
+                        best = max(best, (gain, name, above, limit, k))
         if best[0] <= 0:
             break
-        rule.tests.append(best[1:])
-    return rule if rule.tests else None
+        rule.append((best[1], best[2], best[4]))
+    return rule or None
 
 
-def _prune(rows: DataFrame, rule: Rule, how: Learning) -> Rule | None:
+def _prune(rows: DataFrame, rule: Binned, how: Learning) -> Binned | None:
     """The rule's best beginning on held-out rows, if it is precise enough there."""
-    begun = [Rule(rule.tests[:k]) for k in range(1, len(rule.tests) + 1)]
-    r = rows.agg(*[F.coalesce(F.sum((x.column() & (F.col("bad") if bad else ~F.col("bad"))).cast("long")), F.lit(0)).alias(f"{'p' if bad else 'n'}{k}") for k, x in enumerate(begun) for bad in (True, False)]).first()
+    begun = [rule[:k] for k in range(1, len(rule) + 1)]
+    r = rows.agg(*[F.coalesce(F.sum((_holds(x) & (F.col("bad") if bad else ~F.col("bad"))).cast("long")), F.lit(0)).alias(f"{'p' if bad else 'n'}{k}") for k, x in enumerate(begun) for bad in (True, False)]).first()
     score = lambda k: (r[f"p{k}"] - r[f"n{k}"]) / max(1, r[f"p{k}"] + r[f"n{k}"])
     best = max(range(len(begun)), key=lambda k: (score(k), r[f"p{k}"], -k))
     p, n = r[f"p{best}"], r[f"n{best}"]
@@ -229,7 +258,12 @@ def quality_table(docs: DataFrame, labels: DataFrame, how: Learning | None = Non
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, how: Learning | None = None) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
+    """The documents that the rules keep, with their own columns, whatever their names.
+
+    Null and empty texts fail the base and go; repeated rows are judged each; a null
+    doc_id takes no part in learning; no documents give no rows, and without labels of
+    both classes only the base rejects.
+    """
     rules = learn(docs, labels, how)
     columns = [f"`{c}`" for c in docs.columns]
     row = F.struct(*columns).alias("_row")
