@@ -84,16 +84,32 @@ def without_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs:
     The kept copy is all of a key's lines in the largest doc_id that has it.  Null and
     empty texts have one empty line; a null doc_id keeps all its lines and takes no
     part; of a repeated doc_id all rows count as one document, and a line number
-    dropped in one is dropped in each.  Other columns stay.
+    dropped in one is dropped in each.  Other columns stay; where they
+    have the name of an added one, that gets more underscores.  No documents give no rows.
     """
-    drops, _ = save(shared_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "_doc"), "line-drops")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    out = _marked(docs, min_chars, min_docs)
+    own = [F.col("kept").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*own, F.col("n_lines").alias(_unused("_n_lines", docs)), F.col("n_dropped").alias(_unused("_n_dropped", docs)))
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``row`` (a document's columns), ``n_lines, n_dropped, kept`` (its text without the dropped lines)."""
+    drops, _ = save(shared_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "of"), "line-drops")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("whole"), F.split(text, "\n").alias("lines"))
+    joined = rows.join(drops, F.col("id") == F.col("of"), "left")
     none = F.col("drops").isNull()
-    kept = F.when(none, F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(F.col("_lines"), F.col("drops")), "\n"))
-    out = joined.withColumn("_lines", lines).withColumn("_n_lines", F.size("_lines").cast("long"))
-    out = out.withColumn("_n_dropped", F.when(none, F.lit(0)).otherwise(F.size(F.filter("drops", lambda d: d < F.size("_lines")))).cast("long"))
-    return out.withColumn("text", kept).drop("_lines", "drops", "_doc")
+    kept = F.when(none, F.col("whole")).otherwise(F.array_join(_without(F.col("lines"), F.col("drops")), "\n"))
+    dropped = F.when(none, F.lit(0)).otherwise(F.size(F.filter("drops", lambda d: d < F.size("lines")))).cast("long")
+    return joined.select("row", F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept"))
 
 
 def _without(lines: Column, drops: Column) -> Column:
@@ -105,5 +121,5 @@ def _without(lines: Column, drops: Column) -> Column:
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of each document."""
-    out = without_shared_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = _marked(docs.select("doc_id", "text"), min_chars, min_docs)
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
