@@ -232,6 +232,7 @@ def encoder(path: str) -> Encoder:
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, n_tokens long, ids array<int>"
+ROUND_TRIP = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -276,6 +277,25 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     return texts(docs).mapInArrow(run, TOKENS)
 
 
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of each whole text and ``decoded_sha256`` of what the ids decode to.
+
+    Edge cases as in :func:`encode_digests`.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        decode = encode.automaton.decode
+        for batch in small(batches):
+            ids = [np.frombuffer(x, encode.kind).astype(np.int32) for x in encode(batch.column(1).to_pylist())]
+            digests = [hashlib.sha256(decode(x.tolist())).hexdigest() for x in ids]
+            columns = batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns), schema=schema)
+
+    return texts(docs).mapInArrow(run, ROUND_TRIP)
+
+
 def decode_texts(tokens: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
