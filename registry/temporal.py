@@ -196,7 +196,17 @@ def retrieve_hybrid(spark, sf):
     return hits.select("query_id", "rank", "id", "edition_id", F.round("score", 9).alias("score"), "source", "intent")
 
 
-@query("coverage_repair")
+@query("coverage_repair", sql(
+    """, e AS (SELECT r.query_id, r.id, r.rank, c.edition_id FROM d_ranked r JOIN csrc c USING (id)),
+     h AS (SELECT * FROM e WHERE rank <= 5),
+     b AS (SELECT query_id, edition_id, arg_min(id, rank) AS id FROM e GROUP BY 1, 2),
+     need AS (SELECT item_id AS query_id, k AS ord, 'src' || ((item_id + o) % 20) AS edition_id FROM benchmark, (VALUES (0, 0), (1, 7), (2, 13)) v(k, o)),
+     extra AS (SELECT n.query_id, b.id, n.edition_id, n.ord FROM need n JOIN b USING (query_id, edition_id) ANTI JOIN h USING (query_id, edition_id)),
+     p AS (SELECT *, row_number() OVER (PARTITION BY query_id, edition_id ORDER BY rank) AS p, min(rank) OVER (PARTITION BY query_id, edition_id) AS f FROM h),
+     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p = 1, p DESC, CASE WHEN p = 1 THEN -rank ELSE f END) AS away, count(*) OVER (PARTITION BY query_id) AS n,
+             (SELECT count(*) FROM extra x WHERE x.query_id = p.query_id) AS m FROM p),
+     u AS (SELECT query_id, id, edition_id, 0 AS kind, rank AS pos FROM o WHERE m = 0 OR away > n + m - 5 UNION ALL SELECT query_id, id, edition_id, 1, ord FROM extra)
+     SELECT * FROM (SELECT query_id, id, edition_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kind, pos) AS INT) AS rank FROM u) WHERE rank <= 5""", "d_ranked"))
 def coverage_repair(spark, sf):
     corpus = C.document_corpus(spark, sf)
     scored = bm25.scores(bm25.build_index(corpus, carry=["edition_id"]), C.benchmark_queries(spark, sf))
@@ -356,3 +366,10 @@ def comparison_sets(spark, sf):
        FROM (SELECT *, lag(sort_key) OVER (PARTITION BY query_id ORDER BY rank) AS p FROM hits) GROUP BY 1""", "hits"))
 def hit_order_checks(spark, sf):
     return temporal.order_checks(C.quote_hits(spark, sf)[0])
+
+
+@query("hint_matches", sql(
+    """SELECT item_id AS query_id, 'src' || (item_id % 20) AS hint, coalesce((SELECT bool_or(contains(h.edition_id, 'src' || (item_id % 20))) FROM hits h WHERE h.query_id = item_id), false) AS edition_filter_ok FROM benchmark""", "hits"))
+def hint_matches(spark, sf):
+    hinted = C.benchmark_queries(spark, sf).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("hint"))
+    return temporal.hint_checks(C.quote_hits(spark, sf)[0], hinted)

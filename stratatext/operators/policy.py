@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +64,7 @@ def fallback_search(scored: DataFrame, queries: DataFrame, top: int) -> DataFram
 def repair_order(hits: list[tuple[str, str]], extra: list[tuple[str, str]], limit: int) -> list[str]:
     """Ids of ``hits`` with room made for ``extra`` (both lists of (id, edition)).
 
+    The rule of :func:`ensure_coverage` for one query's lists, step by step.
     Room comes from the edition with most hits (the one seen first on ties): its
     last hit goes.  When every edition has one hit left, the last hit goes.
     """
@@ -88,34 +88,36 @@ def ensure_coverage(hits: DataFrame, best_by_edition: DataFrame, required: DataF
     ``hits(query_id, rank, id, edition_id)`` holds at most ``top`` rows per
     query, ``best_by_edition(query_id, id, edition_id)`` the best hit of each
     edition, ``required(query_id, edition_id, ord)`` the editions wanted.
-    Queries with fewer than two required editions stay as they are.  Each group
-    is at most ``top`` hits plus one row per required edition.
+    Queries with fewer than two required editions stay as they are.  The order in
+    which :func:`repair_order` takes hits away is a rank, so no group is handled row by
+    row; each is at most ``top`` hits plus one row per required edition.
     """
     several = required.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("query_id")
     missing = (
         required.join(several, "query_id", "left_semi")
         .join(hits.select("query_id", "edition_id").distinct(), ["query_id", "edition_id"], "left_anti")
         .join(best_by_edition, ["query_id", "edition_id"])
+        .join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
         .select("query_id", "id", "edition_id", F.col("ord").alias("rank"), F.lit(1).alias("kind"))
     )
-    base = hits.select("query_id", "id", "edition_id", "rank", F.lit(0).alias("kind"))
-    untouched = base.join(missing.select("query_id").distinct(), "query_id", "left_anti")
-    touched = base.join(missing.select("query_id").distinct(), "query_id", "left_semi").unionByName(missing)
-    schema = base.select("query_id", "id", "edition_id", F.col("rank").cast("int").alias("rank")).schema
-
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "rank"])
-        sides = [list(zip(p["id"], p["edition_id"])) for p in (pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1])]
-        order = repair_order(*sides, top)
-        edition = dict(zip(pdf["id"], pdf["edition_id"]))
-        return pd.DataFrame(
-            {
-                "query_id": pdf["query_id"].iloc[0],
-                "id": order,
-                "edition_id": [edition[i] for i in order],
-                "rank": range(1, len(order) + 1),
-            }
-        )
-
-    repaired = touched.groupBy("query_id").applyInPandas(repair, schema)
-    return untouched.select("query_id", "id", "edition_id", F.col("rank").cast("int").alias("rank")).unionByName(repaired)
+    both = hits.select("query_id", "id", "edition_id", "rank", F.lit(0).alias("kind")).unionByName(missing)
+    # A hit's turn to go: those behind others of their edition, furthest behind first
+    # (ties: the edition seen first); then what is left of each edition, from the end.
+    query = Window.partitionBy("query_id")
+    edition = Window.partitionBy("query_id", "kind", "edition_id")
+    behind = F.col("depth") > 1
+    turn = Window.partitionBy("query_id", "kind").orderBy(F.desc(behind), F.desc("depth"), F.when(behind, F.col("first")).otherwise(-F.col("rank")))
+    marked = (
+        both.withColumn("depth", F.row_number().over(edition.orderBy("rank")))
+        .withColumn("first", F.min("rank").over(edition))
+        .withColumn("turn", F.row_number().over(turn))
+        .withColumn("surplus", F.count(F.lit(1)).over(query) - top)
+        .withColumn("added", F.sum("kind").over(query))
+    )
+    kept = marked.filter((F.col("added") == 0) | (F.col("kind") == 1) | (F.col("turn") > F.col("surplus")))
+    place = F.row_number().over(query.orderBy("kind", "rank"))
+    return (
+        kept.withColumn("place", F.when(F.col("added") == 0, F.col("rank")).otherwise(place).cast("int"))
+        .filter((F.col("added") == 0) | (F.col("place") <= top))
+        .select("query_id", "id", "edition_id", F.col("place").alias("rank"))
+    )

@@ -280,3 +280,13 @@ def order_checks(hits: DataFrame) -> DataFrame:
             (F.min_by("sort_key", "rank") == F.max("sort_key")).alias("first_hit_is_latest"),
         )
     )
+
+
+def hint_checks(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per row of ``queries(query_id, hint)``: does a hit's edition contain the hint.
+
+    A query without hits, or with a null hint, does not match.
+    """
+    editions = hits.select("query_id", "edition_id").distinct()
+    met = F.coalesce(F.bool_or(F.contains(F.col("edition_id"), F.col("hint"))), F.lit(False))
+    return queries.join(editions, "query_id", "left").groupBy("query_id", "hint").agg(met.alias("edition_filter_ok"))
