@@ -14,7 +14,7 @@ from stratatext.operators import evidence as EV
 from stratatext.operators import headers as H
 from stratatext.operators import ingest as IN
 from stratatext.operators import quality as QL
-from stratatext.session import spread
+from stratatext.session import shared_folder, spread
 from stratatext.sources import jsonl
 
 from . import common as C
@@ -162,6 +162,27 @@ def span_sample(spark, sf):
     return EV.span_check(C.quotes(spark, sf), C.docs(spark, sf), 40)
 
 
+# Quotes with damage: ends moved back or past the text, hashes of something else.
+_DAMAGED = """SELECT *, CASE WHEN doc_id % 7 = 3 THEN char_end - 3 WHEN doc_id % 11 = 4 THEN char_end + 1000000 ELSE char_end END AS e, CASE WHEN doc_id % 5 = 2 THEN 'x' || sha256 ELSE sha256 END AS h FROM quotes"""
+_SPANS = f"""SELECT quote_id, char_start >= 0 AND e <= length(raw) AND char_start < e AND contains(trim(regexp_replace(substring(raw, char_start + 1, e - char_start), '{C.W}+', ' ', 'g')), trim(regexp_replace(text, '{C.W}+', ' ', 'g'))) AS text_ok,
+    sha256(text) = h AS hash_ok FROM damaged JOIN (SELECT doc_id, text AS raw FROM documents) USING (doc_id)"""
+
+
+def damaged(qs):
+    end = F.when(F.col("doc_id") % 7 == 3, F.col("char_end") - 3).when(F.col("doc_id") % 11 == 4, F.col("char_end") + 1_000_000).otherwise(F.col("char_end"))
+    return qs.withColumn("char_end", end).withColumn("sha256", F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("x"), "sha256")).otherwise(F.col("sha256")))
+
+
+@query("span_damage", sql(_SPANS, "quotes", damaged=_DAMAGED))
+def span_damage(spark, sf):
+    return EV.span_check(damaged(C.quotes(spark, sf)), C.docs(spark, sf))
+
+
+@query("span_damage_sample", sql(_SPANS + " WHERE pos % step = 0 AND pos // step < 40", "quotes", damaged=f"SELECT *, row_number() OVER (ORDER BY doc_id, start_line) - 1 AS pos, greatest(1, (SELECT count(*) FROM quotes) // 40) AS step FROM ({_DAMAGED})"))
+def span_damage_sample(spark, sf):
+    return EV.span_check(damaged(C.quotes(spark, sf)), C.docs(spark, sf), 40)
+
+
 @query("health_checks", sql("""SELECT 'docs' AS "check", 'PASS' AS status, 'ok' AS summary FROM documents GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT doc_id) = count(*)
     UNION ALL SELECT 'toc', CASE WHEN max(n) < 5 THEN 'FAIL' ELSE 'PASS' END, CASE WHEN max(n) < 5 THEN 'too few nodes' ELSE 'ok' END FROM (SELECT edition_id, count(*) AS n FROM tocb GROUP BY 1)
     UNION ALL SELECT 'quotes', CASE WHEN count(DISTINCT type) < 4 OR count(*) < 100 OR count(*) FILTER (WHERE type = 'definition') < 5 THEN 'FAIL' ELSE 'PASS' END, 'ok' FROM quotes UNION ALL SELECT 'EXIT', 'PASS', ''""", "tocb", "quotes"))
@@ -420,7 +441,8 @@ def json_lines(spark, sf):
     k = F.col("conv_id") + F.col("turn")
     whole = F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(k % 7 != 3, F.col("role")).alias("role"), "text"))
     value = F.when(k % 5 == 0, F.substring(whole, 1, 15)).when(k % 11 == 0, F.lit("  ")).otherwise(whole)
-    return C.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_num"), value.alias("value"))
+    part = F.floor(F.col("conv_id") / 1000) * 1000 + F.floor(F.col("turn") / 1000)
+    return C.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_num"), part.alias("part"), value.alias("value"))
 
 
 @query("tolerant_scan", """SELECT conv_id * 1000 + turn AS query_id, role, sha256(text) AS text_hash FROM conversations WHERE (conv_id + turn) % 5 <> 0 AND (conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 7 <> 3""")
@@ -436,6 +458,55 @@ def tolerant_scan_errors(spark, sf):
     return bad.select("line_num", "message")
 
 
+# The same lines as files: one per thousand conversations and thousand turns, in order.
+_FILE = "conv_id // 1000 * 1000 + turn // 1000"
+_LINE = f"SELECT *, {_FILE} AS part, row_number() OVER (PARTITION BY {_FILE} ORDER BY conv_id * 1000 + turn) AS line_num, conv_id + turn AS k FROM conversations"
+
+
+def _part():
+    return F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part")
+
+
+def json_files(spark, sf, broken=True):
+    """Path of text files in the shared folder; without ``broken`` only lines that can be read."""
+    rows = json_lines(spark, sf).select(F.col("line_num").alias("at"), "part", "value")
+    if not broken:
+        rows = rows.filter(F.endswith("value", F.lit("}")))
+    path = f"{shared_folder(spark)}/json-lines-{uuid.uuid4().hex}"
+    rows.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query("jsonl_tolerant", f"""WITH lines AS ({_LINE}) SELECT part, line_num, conv_id * 1000 + turn AS query_id, role, sha256(text) AS text_hash FROM lines WHERE k % 5 <> 0 AND k % 11 <> 0 AND k % 7 <> 3""")
+def jsonl_tolerant(spark, sf):
+    good, _ = jsonl.read_tolerant(spark, json_files(spark, sf), _TURN, ["query_id", "role", "text"])
+    return good.select(_part(), "line_num", "query_id", "role", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("jsonl_rejects", f"""WITH lines AS ({_LINE}) SELECT part, line_num, CASE WHEN k % 5 = 0 THEN 'unreadable JSON' ELSE 'missing: role' END AS message FROM lines WHERE k % 5 = 0 OR (k % 11 <> 0 AND k % 7 = 3)""")
+def jsonl_rejects(spark, sf):
+    _, bad = jsonl.read_tolerant(spark, json_files(spark, sf), _TURN, ["query_id", "role", "text"])
+    return bad.select(_part(), "line_num", "message")
+
+
+@query("jsonl_lenient", """SELECT conv_id * 1000 + turn AS query_id, CASE WHEN (conv_id + turn) % 7 <> 3 THEN role ELSE 'unknown' END AS role, sha256(text) AS text_hash FROM conversations WHERE (conv_id + turn) % 5 <> 0 AND (conv_id + turn) % 11 <> 0""")
+def jsonl_lenient(spark, sf):
+    rows = jsonl.read_lenient(spark, json_files(spark, sf), _TURN, ["query_id", "text"], {"role": "unknown"})
+    return rows.select("query_id", "role", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("jsonl_strict", """SELECT conv_id * 1000 + turn AS query_id, CASE WHEN (conv_id + turn) % 7 <> 3 THEN role END AS role, sha256(text) AS text_hash FROM conversations WHERE (conv_id + turn) % 5 <> 0 AND (conv_id + turn) % 11 <> 0""")
+def jsonl_strict(spark, sf):
+    return jsonl.read_strict(spark, json_files(spark, sf, broken=False), _TURN).select("query_id", "role", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("text_files", "SELECT CAST(item_id AS VARCHAR) AS doc_id, sha256(text || chr(10)) AS text_hash FROM benchmark")
+def text_files(spark, sf):
+    path = f"{shared_folder(spark)}/text-files-{uuid.uuid4().hex}"
+    C.read(spark, sf, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    return jsonl.read_texts(spark, path, "item_id=([0-9]+)").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
 @query("query_keys", """SELECT item_id, left(sha256('{"ef": "", "k": 5, "m": "hybrid", "q": ' || to_json(text) || ', "tf": ["definition", "principle"]}'), 32) AS key FROM benchmark""")
 def query_keys(spark, sf):
     key = ids.query_key(F.col("text"), F.lit("hybrid"), F.lit(5), F.lit(None).cast("string"), F.array(F.lit("principle"), F.lit("definition")))

@@ -138,6 +138,19 @@ def toc_title_search(spark, sf):
     return flat(H.search_titles(H.toc(C.docs(spark, sf), C.HEADER_RULES), "The", "no-such-edition"), "path")
 
 
+_NEEDLES = "SELECT item_id AS query_id, split_part(text, ' ', 1) AS needle, CASE item_id % 3 WHEN 0 THEN 'src' || (item_id % 20) WHEN 1 THEN 'none' END AS asked FROM benchmark"
+
+
+@query("toc_titles_search", sql(
+    """SELECT q.query_id, t.doc_id, t.edition_id, t.level, t.title, CAST(t.line AS INT) AS line FROM tocb t JOIN needles q
+       ON q.needle <> '' AND contains(lower(t.title), lower(q.needle)) AND (q.asked = t.edition_id OR q.asked IS NULL OR q.asked NOT IN (SELECT source FROM documents WHERE source IS NOT NULL))""", "tocb", needles=_NEEDLES))
+def toc_titles_search(spark, sf):
+    k = F.col("item_id") % 3
+    asked = F.when(k == 0, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).when(k == 1, "none")
+    needles = C.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("needle"), asked.alias("edition_id"))
+    return H.search_titles_many(H.toc(C.docs(spark, sf), C.HEADER_RULES), needles).drop("path")
+
+
 @query("toc_breadcrumbs", sql(
     "SELECT doc_id, CAST(line AS INT) AS line, array_to_string(list_slice(path, 2, len(path)), ' > ') AS crumb FROM tocb", "tocb"))
 def toc_breadcrumbs(spark, sf):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
+from ..session import broadcast_if_small
+from .textjoin import contains_join
 
 HeaderRules = list[tuple[str, int, str]]
 
@@ -200,6 +202,26 @@ def search_titles(toc_rows: DataFrame, needle: str, edition_id: str | None = Non
     return nodes.select("doc_id", "edition_id", "path", "level", "title", "line")
 
 
+
+def search_titles_many(toc_rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """:func:`search_titles` for each row of ``needles(query_id, needle, edition_id)``.
+
+    A null edition, or one that does not occur, searches every edition; null and empty
+    needles find nothing.  Distinct titles meet distinct needles on substrings; only
+    titles that hold a needle go back to their headers.
+    """
+    nodes = toc_rows.filter(F.col("level") != "H0").withColumn("_title", F.lower("title"))
+    known = toc_rows.select(F.col("edition_id").alias("_only")).distinct()
+    asked = (
+        needles.select("query_id", F.lower("needle").alias("_needle"), F.col("edition_id").alias("_asked"))
+        .join(broadcast_if_small(known), F.col("_asked") == F.col("_only"), "left").drop("_asked")
+    )
+    found = contains_join(nodes.select("_title").distinct(), "_title", asked.select("_needle").distinct(), "_needle")
+    pairs = found.join(asked, "_needle")
+    met = nodes.join(pairs, "_title").filter(F.col("_only").isNull() | (F.col("_only") == F.col("edition_id")))
+    return met.select("query_id", "doc_id", "edition_id", "path", "level", "title", "line")
+
+
 def section_text(docs: DataFrame, starts: DataFrame, rules: HeaderRules = V.HEADER_RULES, max_lines: int = 100) -> DataFrame:
     """Text from each ``(doc_id, line)`` to the next header or the document end.
 

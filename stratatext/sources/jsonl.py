@@ -56,16 +56,17 @@ def parse_lines(lines: DataFrame, schema: str | StructType, required: list[str])
 def read_tolerant(spark: SparkSession, path: str, schema: str | StructType = QUOTE_SCHEMA, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Error-tolerant scan: (records, errors) with each line's file and 1-based number in it.
 
-    A large file is read in blocks by several tasks: lines are counted per block, and
-    a block's lines are numbered from the sum over the blocks before it.
+    A large file is read in blocks by several tasks: a first scan counts the lines of
+    each block, and a block's lines are numbered from the sum over the blocks before it.
+    Only those counts are written down; the lines themselves are read again, not copied.
     """
-    block = F.input_file_block_start()
-    lines = stored(
-        spark.read.text(path).select(F.input_file_name().alias("file"), block.alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"), "lines"
+    # One relation for both scans, so that their tasks hold the same blocks.
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
     )
     blocks = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    blocks = stored(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "blocks")
     lines = lines.join(broadcast_if_small(blocks), ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_num"), "value")
     return parse_lines(lines, schema, required or ["quote_id", "edition_id", "type", "text", "start_line", "char_span"])
 
@@ -114,9 +115,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as a corpus ``(doc_id, text)``; the id is the file name."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+def read_texts(spark: SparkSession, path: str, id_pattern: str | None = None) -> DataFrame:
+    """Whole text files as a corpus ``(doc_id, text)``.
+
+    The id is the file name, or what the first group of ``id_pattern`` finds in the
+    file's path.
+    """
+    name = F.regexp_extract("_metadata.file_path", id_pattern, 1) if id_pattern else F.col("_metadata.file_name")
+    return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
 def write_records(df: DataFrame, path: str, partition_by: str | None = None, fmt: str = "json") -> None:
