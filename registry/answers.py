@@ -389,14 +389,15 @@ def output_validation(spark, sf):
 
 # -- ingest -----------------------------------------------------------------------------
 
-CTES["inc"] = (["quotes"], "SELECT doc_id, start_line, quote_id, sha256 AS content_hash, doc_id * 100000 + start_line AS ord FROM quotes WHERE sort_key >= 5")
+CTES["inc"] = (["quotes"], "SELECT doc_id, start_line, quote_id, sha256 AS content_hash, doc_id * 100000 + start_line AS ord FROM quotes")
 CTES["tab"] = (["quotes"], "SELECT quote_id, sha256 AS content_hash FROM quotes WHERE sort_key < 8")
 
 
 def incoming(qs):
+    """(a delivery of all quotes, the table that holds those of the earlier editions)."""
     k = C.edition_order("edition_id")
     base = qs.select("doc_id", "start_line", "quote_id", F.col("sha256").alias("content_hash"), (F.col("doc_id") * 100000 + F.col("start_line")).alias("ord"), k.alias("k"))
-    return base.filter("k >= 5").drop("k"), base.filter("k < 8").select("quote_id", "content_hash")
+    return base.drop("k"), base.filter("k < 8").select("quote_id", "content_hash")
 
 
 _NEW = """, fresh AS (SELECT * FROM inc WHERE content_hash NOT IN (SELECT content_hash FROM tab) AND quote_id NOT IN (SELECT quote_id FROM tab)),
