@@ -288,6 +288,27 @@ def stream_alerts(spark, sf):
     return ST.alerts(t, targets).filter("level = 'critical'").select(F.unix_micros("window_start").alias("window_start_us"), "endpoint", "requests", "errors")
 
 
+# A window of fewer rows than the sketch's accuracy is ranked exactly: no entry is merged away.
+_P = ", ".join(f"quantile_disc(duration_ms, {q}) AS p{n}" for q, n in ((0.5, 50), (0.95, 95), (0.99, 99)))
+
+
+@query("stream_percentiles", sql(f"SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us, endpoint, {_P} FROM req GROUP BY date_trunc('hour', ts), endpoint", "req"))
+def stream_percentiles(spark, sf):
+    t = all_windows(spark, sf, ST.request_windows)
+    return t.select(F.unix_micros("window_start").alias("window_start_us"), "endpoint", "p50", "p95", "p99")
+
+
+@query("stream_latency_alerts", sql(
+    """, w AS (SELECT date_trunc('hour', ts) AS h, endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors, quantile_disc(duration_ms, 0.95) AS p95 FROM req GROUP BY 1, 2),
+     t AS (SELECT endpoint, max(duration_ms) / 2.2::DOUBLE AS target FROM req GROUP BY 1)
+     SELECT * FROM (SELECT epoch_us(h) AS window_start_us, endpoint, requests, errors, CASE WHEN p95 / target > 2 OR errors / requests > 0.05::DOUBLE THEN 'critical' WHEN p95 / target > 1.5 THEN 'warning' END AS level FROM w JOIN t USING (endpoint)) WHERE level IS NOT NULL""", "req"))
+def stream_latency_alerts(spark, sf):
+    """Alerts of both levels: a target is the endpoint's slowest request over 2.2."""
+    targets = requests(spark, sf).groupBy("endpoint").agg((F.max("duration_ms") / F.lit(2.2)).alias("p95_target"))
+    t = all_windows(spark, sf, ST.request_windows)
+    return ST.alerts(t, targets).select(F.unix_micros("window_start").alias("window_start_us"), "endpoint", "requests", "errors", "level")
+
+
 @query("stream_throttle")
 def stream_throttle(spark, sf):
     e = event_stream(spark, sf).withColumn("client", F.concat(F.lit("u"), F.col("user_id").cast("string")))
