@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratatext.operators import blockmax, bm25, fusion, ivf, vectors
 from stratatext.operators import quotes as QT
+from stratatext.plans import search as plan
 from stratatext.session import shared_folder
 from stratatext.sources import keyed
 
@@ -202,17 +203,12 @@ CTES["fused"] = (["v_ranked", "d_ranked"], """SELECT query_id, id, round(sum(p),
 CTES["hybrid"] = (["fused"], "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST) AS rank FROM fused")
 
 
-def both_sides(spark, sf):
-    vec = vectors.vector_search(vector_corpus(spark, sf), vector_queries(spark, sf), 16, 0.1)
-    kw = bm25.bm25_search(bm25.build_index(C.document_corpus(spark, sf)), C.benchmark_queries(spark, sf), 16)
-    return vec, kw
-
-
 @query("hybrid_search", sql(
     """SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 9) AS score, CASE WHEN vr IS NULL THEN 'bm25' ELSE 'vector' END AS source FROM hybrid WHERE rank <= 8""", "hybrid"))
 def hybrid_search(spark, sf):
-    fused = fusion.rrf_fusion(*both_sides(spark, sf), top=8)
-    return fused.select("query_id", "rank", "id", F.round("score", 9).alias("score"), "source")
+    corpus = C.document_corpus(spark, sf)
+    fused = plan.search(corpus, bm25.build_index(corpus), C.benchmark_queries(spark, sf), vector_corpus(spark, sf), vector_queries(spark, sf), 8, score_threshold=0.1)
+    return fused.withColumn("score", F.round("score", 9))
 
 
 @query("hybrid_by_edition", sql(
@@ -224,12 +220,9 @@ def hybrid_search(spark, sf):
     "v_scores", "d_scores", "csrc"))
 def hybrid_by_edition(spark, sf):
     corpus = C.document_corpus(spark, sf)
-    mine = F.col("edition_id") == "src2"
-    members = corpus.filter(mine).select("id")
-    vec_corpus = vector_corpus(spark, sf).join(members, "id", "left_semi")
-    vec = vectors.vector_search(vec_corpus, vector_queries(spark, sf), 10, 0.0)
-    kw = bm25.bm25_search(bm25.build_index(corpus), C.benchmark_queries(spark, sf), 10, corpus, mine)
-    return fusion.rrf_fusion(vec, kw, top=5).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    found = plan.search_by_edition(
+        corpus, bm25.build_index(corpus), C.benchmark_queries(spark, sf), "src2", vector_corpus(spark, sf), vector_queries(spark, sf), top=5, score_threshold=0.0)
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
 @query("minmax_scores", sql(

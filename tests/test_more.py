@@ -94,3 +94,26 @@ def test_ids_of_text_files(spark, tmp_path):
         (tmp_path / f"item={k}" / "x.txt").write_text(t)
     rows = jsonl.read_texts(spark, str(tmp_path), "item=([0-9]+)").collect()
     assert sorted((r["doc_id"], r["text"]) for r in rows) == [("1", "a\nb"), ("22", "c")]
+
+
+def test_search_entry(spark):
+    """Filters, expansion, one side alone and re-ranking through the one entry."""
+    from stratatext.operators import bm25
+    from stratatext.plans import search as plan
+
+    texts = ["red apple pie", "green apple", "blue car engine", "fast auto race", "red car", "plain words here"]
+    corpus = spark.createDataFrame([(f"d{i}", i, t, f"e{i % 2}") for i, t in enumerate(texts)], "id string, ord int, text string, edition_id string")
+    near = spark.createDataFrame([(f"d{i}", [float(i == k) for k in range(6)]) for i in range(6)], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "car")], "query_id int, text string")
+    vec = spark.createDataFrame([(1, [0.0, 0.0, 0.0, 0.0, 1.0, 0.5])], "query_id int, embedding array<float>")
+    index = bm25.build_index(corpus)
+    ids = lambda df: [(r["id"], r["source"]) for r in df.orderBy("rank").collect()]
+    args = (corpus, index, asked, near, vec)
+    assert ids(plan.search(*args, top=3, score_threshold=0.1)) == [("d4", "vector"), ("d5", "vector"), ("d2", "bm25")]
+    assert ids(plan.search(*args, top=3, score_threshold=0.1, mode="bm25")) == [("d4", "bm25"), ("d2", "bm25")]
+    assert ids(plan.search(*args, top=1, score_threshold=0.1, mode="vector")) == [("d4", "vector")]
+    assert ids(plan.search_by_edition(*args[:3], "e1", *args[3:], score_threshold=0.1)) == [("d5", "vector")]
+    clusters = spark.createDataFrame([(0, "cars", ["car", "auto"])], "cluster_ord int, name string, terms array<string>")
+    assert ("d3", "bm25") in ids(plan.search(*args, top=5, score_threshold=0.1, clusters=clusters))
+    scores = spark.createDataFrame([(1, "d2", 4.0), (1, "d4", 1.0), (1, "d5", 2.0)], "query_id int, id string, relevance double")
+    assert [i for i, _ in ids(plan.search(*args, top=3, score_threshold=0.1, relevance=scores))] == ["d2", "d5", "d4"]
