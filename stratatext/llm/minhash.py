@@ -6,11 +6,15 @@ every pair (one of each) is a table: ``COLLECTION`` squared tables from
 ``2 * COLLECTION * HALF`` minhashes.  A pair of documents is missed by all tables only
 if one whole collection fails: at a similarity of 0.8 about 1e-5 of the pairs.
 
-Equal sets are one class.  Classes meet in the tables; pairs are confirmed on the
-full sets.  Pairs first come from neighbours in a few tables' buckets, so a bucket of
-n classes gives n - 1 of them.  What these unite needs no further confirmation: the
-later pairs are all those of classes in different components that share a bucket.
-Buckets that hold one class alone are left out beforehand by :mod:`seen`.
+Equal sets are one class.  Neighbours in the buckets of a few tables are confirmed on
+their full sets first; what they unite needs no further confirmation.  Then the buckets
+of all tables that still hold several components are sought.  Each has an anchor, its
+largest component; the classes of all buckets of one anchor form a group, in which
+every class outside the anchor meets all others, on full sets, in blocks of bounded
+size: a block's sets are sent once and indexed by shingle, the classes that ask it pass
+by in a stream.  So no table of pairs is written, and a class that shares buckets with
+thousands of near copies costs one row a block.  Buckets that hold one class alone are
+left out beforehand by :mod:`seen`.
 """
 
 from __future__ import annotations
@@ -24,9 +28,14 @@ from pyspark.sql import functions as F
 
 from stratatext.llm.common import WordHashes, drop, mix, per_process, save, shingles, texts, words_of
 from stratatext.llm.seen import filter_bits, maybe_repeated, twice_seen
+from stratatext.session import broadcast_if_small
 
 HALF = 3
 COLLECTION = 16
+#: Tables whose neighbours are tried first: one from each of four pairs of short keys.
+FIRST = np.arange(4) * (COLLECTION + 1)
+#: Shingles of a block of sets, about 8 bytes each.
+BLOCK = 500_000
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,10 +49,13 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
 def short_keys(values: np.ndarray) -> np.ndarray:
     """The 2 * COLLECTION short keys of a set."""
     n = 2 * COLLECTION * HALF
-    low = np.empty(n, np.uint64)
+    low = np.full(n, np.iinfo(np.uint64).max)
     turns = mix(np.arange(1, n + 1, dtype=np.uint64) * SEED)
-    for i, (turn, odd) in enumerate(zip(turns, mix(turns) | np.uint64(1), strict=True)):
-        low[i] = ((values ^ turn) * odd).min()  # a bijection of hashes that are mixed already
+    odd = mix(turns) | np.uint64(1)
+    for at in range(0, len(values), 1024):
+        some = values[None, at : at + 1024] ^ turns[:, None]
+        some *= odd[:, None]  # a bijection of hashes that are mixed already
+        np.minimum(low, some.min(axis=1), out=low)
     keys = np.zeros(2 * COLLECTION, np.uint64)
     for part in low.reshape(2 * COLLECTION, HALF).T:
         keys = mix(keys * SEED + part)
@@ -70,34 +82,31 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, short binary")
 
 
-def buckets(short: pa.Array) -> np.ndarray:
-    """A row per class, a column per table: the keys of all pairs of short keys."""
+def buckets(short: pa.Array, tables: np.ndarray) -> np.ndarray:
+    """A row per class, a column per table: the keys of the tables' pairs of short keys."""
     keys = np.frombuffer(b"".join(short.to_pylist()), np.uint64).reshape(-1, 2, COLLECTION)
-    number = np.arange(1, COLLECTION**2 + 1, dtype=np.uint64).reshape(COLLECTION, COLLECTION)
-    return mix(keys[:, 0, :, None] * SEED + mix(keys[:, 1, None, :] + number)).reshape(len(keys), -1)
+    x, y = np.divmod(tables, COLLECTION)
+    return mix(keys[:, 0, x] * SEED + mix(keys[:, 1, y] + tables.astype(np.uint64) + np.uint64(1)))
 
 
-def table_rows(classes: DataFrame) -> tuple[DataFrame, str]:
-    """A written table ``bucket, turn, first, id, n``: classes in the buckets that seem to hold several.
+def first_rows(classes: DataFrame, n_classes: int) -> tuple[DataFrame, str]:
+    """A written table ``bucket, turn, id, n`` of the first tables' buckets that seem to hold several classes.
 
-    ``turn`` orders a bucket's classes, differently in each table; ``first`` marks the
-    tables whose neighbours are tried first.
+    ``turn`` orders a bucket's classes, differently in each table.
     """
-    expected = classes.count() * COLLECTION**2
-    seen = twice_seen(classes.select("short"), lambda batch: buckets(batch.column(0)).ravel(), filter_bits(expected // 2))
-    schema = pa.schema([("bucket", pa.int64()), ("turn", pa.int64()), ("first", pa.bool_()), ("id", pa.int64()), ("n", pa.int64())])
+    bits = filter_bits(n_classes * len(FIRST))
+    seen = twice_seen(classes.select("short"), lambda batch: buckets(batch.column(0), FIRST).ravel(), bits)
+    schema = pa.schema([("bucket", pa.int64()), ("turn", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                keys = buckets(some.column(2))
-                row, table = np.nonzero(maybe_repeated(seen.value, keys.ravel()).reshape(keys.shape))
-                ids, sizes = np.asarray(some.column(0), np.int64)[row], np.asarray(some.column(1), np.int64)[row]
-                turn = mix(ids.astype(np.uint64) * SEED + table.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[row, table].view(np.int64), turn.view(np.int64), table % (COLLECTION + 1) == 0, ids, sizes)], schema=schema)
-
-    rows = save(classes.select("id", "n", "short").mapInArrow(run, "bucket long, turn long, first boolean, id long, n long"), "table-rows")
+            keys = buckets(batch.column(2), FIRST)
+            row, table = np.nonzero(maybe_repeated(seen.value, keys.ravel()).reshape(keys.shape))
+            ids, sizes = np.asarray(batch.column(0), np.int64)[row], np.asarray(batch.column(1), np.int64)[row]
+            turn = mix(ids.astype(np.uint64) * SEED + table.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[row, table].view(np.int64), turn.view(np.int64), ids, sizes)], schema=schema)
+
+    rows = save(classes.select("id", "n", "short").mapInArrow(run, "bucket long, turn long, id long, n long"), "table-rows")
     seen.destroy()
     return rows
 
@@ -126,21 +135,143 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b) of all classes that share a bucket but no component, of sizes that allow a link."""
-    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    mixed, _ = save(mixed, "mixed-buckets")
-    some, _ = save(rows.join(mixed, "bucket", "left_semi").select("bucket", "id", "n", "comp"), "mixed-rows")
-    other = some.select(F.col("bucket").alias("_bucket"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("_comp"))
-    pairs = some.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("comp") < F.col("_comp")) & F.expr("100 * least(n, m) >= 80 * greatest(n, m)"))
-    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+def once_a_component(short: pa.Array, comp: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) over all tables; of a batch's classes of one component, one a bucket."""
+    tables = np.arange(COLLECTION**2)
+    keys = buckets(short, tables)
+    row = np.repeat(np.arange(len(keys)), len(tables))
+    keys, again = keys.ravel(), several[row]
+    if again.any():
+        inside = np.nonzero(again)[0]
+        _, one = np.unique(mix(keys[inside] + mix(comp[row[inside]].astype(np.uint64) * SEED)), return_index=True)
+        again[inside[one]] = False
+        keys, row = keys[~again], row[~again]
+    return keys, row
+
+
+def groups(placed: DataFrame, n_classes: int) -> tuple[DataFrame, str]:
+    """A written table ``anchor, id, n, comp`` of the classes in buckets that hold several components.
+
+    ``placed`` has ``id, n, comp, size, short``.  A bucket's anchor is its largest
+    component (of equal ones the smallest); only (bucket, component) rows are shuffled to
+    find it, so that a large component is a few rows a bucket.
+    """
+    spark = placed.sparkSession
+
+    def spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096))
+
+    def one_each(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return once_a_component(batch.column(2), np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64) > 1)
+
+    narrow = placed.select("comp", "size", "short")
+    bits = filter_bits(n_classes * COLLECTION**2 // 2)
+    seen = twice_seen(narrow, lambda batch: np.concatenate([one_each(b)[0] for b in spans(batch)] or [np.empty(0, np.uint64)]), bits)
+    schema = pa.schema([("bucket", pa.int64()), ("comp", pa.int64()), ("size", pa.int64())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in spans(batch):
+                keys, row = one_each(some)
+                ok = maybe_repeated(seen.value, keys)
+                comp, size = (np.asarray(some.column(k), np.int64)[row[ok]] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[ok].view(np.int64), comp, size)], schema=schema)
+
+    met = narrow.mapInArrow(meet, "bucket long, comp long, size long").groupBy("bucket")
+    met = met.agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("size", (-F.col("comp")).alias("c"))).alias("best"))
+    mixed, mixed_path = save(met.where("x <> y").select("bucket", (-F.col("best.c")).alias("anchor")), "mixed-buckets")
+    seen.destroy()
+    wanted = twice_seen(mixed.select("bucket"), lambda batch: np.asarray(batch.column(0), np.int64).view(np.uint64), filter_bits(mixed.count() * 2), times=1)
+    found = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in spans(batch):
+                keys = buckets(some.column(3), np.arange(COLLECTION**2))
+                row, table = np.nonzero(maybe_repeated(wanted.value, keys.ravel()).reshape(keys.shape))
+                ids, n, comp = (np.asarray(some.column(k), np.int64)[row] for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[row, table].view(np.int64), ids, n, comp)], schema=found)
+
+    rows = placed.select("id", "n", "comp", "short").mapInArrow(ask, "bucket long, id long, n long, comp long")
+    out = save(rows.join(mixed, "bucket").select("anchor", "id", "n", "comp").distinct(), "groups")
+    wanted.destroy()
+    drop(spark, mixed_path)
+    return out
+
+
+def cells(group: DataFrame) -> DataFrame:
+    """``anchor, own, block, asks, id, comp``: the sets of each block, and the classes that ask it.
+
+    Classes of the anchor and the others are cut into blocks of about ``BLOCK``
+    shingles; the others ask every block of either kind.
+    """
+    own = F.col("comp") == F.col("anchor")
+    parts = F.ceil(F.sum("n") / BLOCK).cast("int")
+    sizes = group.groupBy("anchor", own.alias("own")).agg(parts.alias("parts")).where("parts > 1")
+    sizes = sizes.groupBy("anchor").agg(F.max(F.when(F.col("own"), F.col("parts"))).alias("ours"), F.max(F.when(~F.col("own"), F.col("parts"))).alias("theirs"))
+    rows = group.join(broadcast_if_small(sizes), "anchor", "left").withColumn("own", own)
+    ours, theirs = (F.coalesce(c, F.lit(1)) for c in ("ours", "theirs"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("own"), ours).otherwise(theirs)).cast("int")
+    held = rows.select("anchor", "own", block.alias("block"), F.lit(False).alias("asks"), "id", "comp")
+    asking = rows.where("not own").select("anchor", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"), "id", "comp", ours.alias("ours"), theirs.alias("theirs"))
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("ours")).otherwise(F.col("theirs")) - 1))
+    return held.unionByName(asking.select("anchor", "own", every.alias("block"), F.lit(True).alias("asks"), "id", "comp"))
+
+
+class Block:
+    """Sets of a block, indexed by shingle."""
+
+    def __init__(self, comps: list[int], sets: list[np.ndarray]):
+        self.comps, self.n = np.array(comps, np.int64), np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.values, self.who = values[order], np.repeat(np.arange(len(sets)), self.n)[order]
+
+    def linked(self, values: np.ndarray) -> np.ndarray:
+        """Components of the sets that have a similarity of 0.8 or more with this one."""
+        low, high = np.searchsorted(self.values, values, "left"), np.searchsorted(self.values, values, "right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(self.who[at], minlength=len(self.n))
+        return np.unique(self.comps[100 * both >= 80 * (self.n + len(values) - both)])
+
+
+def across(group: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(a, b) of different components with a link between classes of one group."""
+    sets, sets_path = save(sets_of(rows, group.select("id").distinct(), size), "sets")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, comps, held, block = None, [], [], None
+        for batch in batches:
+            out = set()
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for k, (key, asks, comp) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if key != now:
+                    now, comps, held, block = key, [], [], None
+                values = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint64)
+                if not asks:
+                    comps.append(comp)
+                    held.append(values.copy())  # lets the batch go
+                    continue
+                if block is None:
+                    block, held = Block(comps, held), []
+                out.update((min(comp, c), max(comp, c)) for c in block.linked(values).tolist() if c != comp)
+            columns = list(zip(*sorted(out), strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=schema)
+
+    filled = cells(group).join(sets.withColumnRenamed("doc_id", "id"), "id").select("anchor", "own", "block", "asks", "comp", "values")
+    ordered = filled.repartition("anchor", "own", "block").sortWithinPartitions("anchor", "own", "block", "asks")
+    out, _ = save(ordered.mapInArrow(run, "a long, b long").distinct(), "links")
+    drop(rows.sparkSession, sets_path)
+    return out
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of 0.8 or more."""
     pairs, pairs_path = save(pairs, "pairs")
     wanted = pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct()
-    sets, sets_path = save(shingle_sets(rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi"), size), "sets")
+    sets, sets_path = save(sets_of(rows, wanted, size), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("y"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -162,7 +293,9 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     return out
 
 
-def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+def sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``doc_id, values``: the shingle sets of the rows whose doc_id is an ``id`` of ``wanted``."""
+    rows = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi")
     schema = pa.schema([("doc_id", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +346,21 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     valid = signed.where("doc_id is not null and n_shingles > 0")
     best = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "short"))
     classes, _ = save(valid.groupBy("set_key").agg(best.alias("c")).select("set_key", "c.*"), "classes")
-    tables, tables_path = table_rows(classes)
+    n_classes = classes.count()
     named = rows.where("doc_id is not null")
-    links = confirmed(neighbours(tables.where("first")), named, size)
-    comps = components(links)
-    placed = tables.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    more = confirmed(across(placed), named, size)
+    tables, tables_path = first_rows(classes, n_classes)
+    comps = components(confirmed(neighbours(tables), named, size))
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    comps, comps_path = save(comps.join(sizes, "comp"), "first-components")
+    placed = classes.join(comps, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), "short")
+    placed, placed_path = save(placed.sortWithinPartitions("comp", "id"), "placed-classes")
+    group, group_path = groups(placed, n_classes)
+    joined = components(across(group, named, size)).select(F.col("id").alias("first"), F.col("comp").alias("last"))
     same = valid.select("set_key", "doc_id").join(classes.select("set_key", "id"), "set_key").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.union(more))
-    drop(spark, tables_path)
-    member, _ = save(same.groupBy("b").agg(F.min("a").alias("id")).withColumnRenamed("b", "doc"), "members")
-    comp, _ = save(member.join(final, "id", "left").select("doc", F.coalesce("comp", "id").alias("component_id")), "components")
+    member = same.groupBy("b").agg(F.min("a").alias("id")).withColumnRenamed("b", "doc").join(comps.select("id", "comp"), "id", "left")
+    member = member.withColumn("first", F.coalesce("comp", "id")).join(joined, "first", "left")
+    comp, _ = save(member.select("doc", F.coalesce("last", "first").alias("component_id")), "components")
+    drop(spark, tables_path, comps_path, placed_path, group_path)
     out = signed.join(comp, signed["doc_id"] == comp["doc"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
