@@ -147,7 +147,22 @@ def claim_summary(spark, sf):
     return EV.claim_summary(claims(spark, sf))
 
 
-@query("claim_positions")
+# Sentences are sought one after another in their quote; short ones end the one before.
+CTES["parts"] = (["claims0"], "SELECT quote_id, doc_id, char_start, s, row_number() OVER (PARTITION BY quote_id ORDER BY i) AS rn FROM claims0 WHERE s <> ''")
+CTES["walk"] = (["parts", "quotes"], """SELECT quote_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS e FROM parts WHERE rn = 1 UNION ALL
+    SELECT quote_id, rn, b, b + length(s) FROM (SELECT p.quote_id, p.rn, p.s, w.e + greatest(0, instr(substr(q.text, w.e + 1), p.s) - 1) AS b
+        FROM walk w JOIN parts p ON p.quote_id = w.quote_id AND p.rn = w.rn + 1 JOIN quotes q ON q.quote_id = p.quote_id)""")
+CTES["claim_spans"] = (["walk"], """SELECT doc_id, quote_id, CAST(isl - 1 AS INT) AS sentence_no, text, char_start + b AS span_start FROM (
+    SELECT quote_id, any_value(doc_id) AS doc_id, any_value(char_start) AS char_start, isl, string_agg(s, '. ' ORDER BY rn) AS text, arg_min(b, rn) AS b FROM (
+        SELECT p.*, w.b, sum(CASE WHEN length(p.s) < 10 AND p.rn > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY p.quote_id ORDER BY p.rn) AS isl
+        FROM parts p JOIN walk w ON w.quote_id = p.quote_id AND w.rn = p.rn) GROUP BY quote_id, isl)
+    WHERE length(text) >= 20 AND NOT regexp_matches(text, '^[0-9]+[.)] *$')""")
+_POSITIONS = sql("""SELECT doc_id, quote_id, sentence_no, place AS raw_start, place + length(text) AS raw_end FROM (
+    SELECT *, CAST(CASE WHEN ahead > 0 THEN span_start + ahead - 1 WHEN top > 0 THEN top - 1 ELSE span_start END AS BIGINT) AS place FROM (
+        SELECT c.*, instr(substr(d.text, c.span_start + 1), left(c.text, 30)) AS ahead, instr(d.text, left(c.text, 30)) AS top FROM claim_spans c JOIN docs d USING (doc_id)))""", "claim_spans", "docs")
+
+
+@query("claim_positions", _POSITIONS.replace("WITH ", "WITH RECURSIVE ", 1).replace("walk AS MATERIALIZED", "walk AS"))
 def claim_positions(spark, sf):
     return EV.locate_claims(claims(spark, sf), C.docs(spark, sf))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
+from .places import seek
 
 WORDS = r"(?U)[\w가-힣]{4,}"
 
@@ -244,33 +245,15 @@ def build_claims(quotes: DataFrame, groups: list = V.CLAIM_PATTERNS, keywords: l
 def locate_claims(claims: DataFrame, docs: DataFrame, key_chars: int = 30) -> DataFrame:
     """Claim positions in the raw text: first place of its first 30 characters, else its quote span.
 
-    Searched per document from the quote's start, then from the top.
+    Sought from the quote's start, then from the top.  A document's text is read once for
+    all its claims (:mod:`places`), and only their keys meet it; a null text leaves the spans.
     """
-    per_doc = claims.groupBy("doc_id").agg(
-        F.collect_list(F.struct("quote_id", "sentence_no", "text", "span_start")).alias("cs")
-    )
-    raw = F.col("raw")
-
-    def place(c: Column) -> Column:
-        key = F.substring(c["text"], 1, key_chars)
-        ahead = F.instr(raw.substr(c["span_start"].cast("int") + 1, F.length(raw)), key)
-        top = F.instr(raw, key)
-        at = (
-            F.when(ahead > 0, c["span_start"] + ahead - 1)
-            .when(top > 0, (top - 1).cast("long"))
-            .otherwise(c["span_start"])
-        )
-        return F.struct(
-            c["quote_id"].alias("quote_id"), c["sentence_no"].alias("sentence_no"),
-            at.alias("raw_start"), (at + F.length(c["text"])).alias("raw_end"),
-        )
-
-    # Searched inside the row that holds the text: the text is never repeated per claim.
-    return (
-        docs.select("doc_id", F.col("text").alias("raw"))
-        .join(per_doc, "doc_id")
-        .select("doc_id", F.inline(F.transform("cs", place)))
-    )
+    tag = F.struct("quote_id", "sentence_no", "span_start", F.length("text").alias("n_chars")).alias("tag")
+    asked = F.struct(tag, F.substring("text", 1, key_chars).alias("key"), F.col("span_start").alias("hint"))
+    per_doc = claims.groupBy("doc_id").agg(F.collect_list(asked).alias("asked"))
+    found = seek(docs.select("doc_id", F.col("text").alias("raw")).join(per_doc, "doc_id"), "raw", "asked", ["doc_id"])
+    at = F.coalesce("at", F.col("tag.span_start").cast("long"))
+    return found.select("doc_id", "tag.quote_id", "tag.sentence_no", at.alias("raw_start"), (at + F.col("tag.n_chars")).alias("raw_end"))
 
 
 def claim_summary(claims: DataFrame, top: int = 10) -> DataFrame:

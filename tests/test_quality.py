@@ -12,6 +12,7 @@ from stratatext.operators import evidence as EV
 from stratatext.operators import ingest as IN
 from stratatext.operators import metrics as M
 from stratatext.operators import quality as QL
+from stratatext.operators.places import seek
 from stratatext.sources import dims, jsonl, tables
 from stratatext.streaming import jobs as ST
 
@@ -76,6 +77,29 @@ def test_claim_positions(spark):
         assert (r["raw_start"] == second) == (r["quote_id"] == "q2")
 
 
+def test_places_equal_plain_search(spark):
+    """Random texts over three letters, with overlapping, nested, absent, empty and null keys."""
+    rnd = random.Random(5)
+    rows, want = [], set()
+    for doc in range(40):
+        raw = None if doc == 0 else "".join(rnd.choice("aé한") for _ in range(rnd.choice([0, 5, 60, 400])))
+        asked = []
+        for tag in range(rnd.randint(0, 30)):
+            at = rnd.randrange(len(raw) or 1) if raw else 0
+            key = rnd.choice([(raw or "")[at : at + rnd.randint(1, 6)], "absent", "", None])
+            hint = rnd.choice([None, 0, at, 10_000])
+            place = raw.find(key, hint or 0) if raw and key else -1
+            if place < 0 and raw and key:
+                place = raw.find(key)
+            asked.append((tag, key, hint))
+            want.add((doc, tag, place if place >= 0 else None))
+        rows.append((doc, raw, asked))
+    df = spark.createDataFrame(rows, "doc int, raw string, asked array<struct<tag:int,key:string,hint:long>>")
+    got = [tuple(r) for r in seek(df, "raw", "asked", ["doc"]).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert seek(df.where("false"), "raw", "asked", ["doc"]).count() == 0
+
+
 def test_gate_and_report(spark):
     rows = [(str(i), "definition", i < 8, True, {"relevance": 4.0}) for i in range(10)]
     r = spark.createDataFrame(rows, "id string, query_type string, passed boolean, regression_passed boolean, scores map<string,double>")
