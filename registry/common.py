@@ -36,6 +36,15 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of files.
+
+    The path is given as a pattern: a plain one is taken for a folder.
+    """
+    schema = read(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read(spark, sf, "documents").select("doc_id", F.col("source").alias("edition_id"), "text"), "doc_id")
 
