@@ -188,7 +188,7 @@ def embedding_upsert_folders(spark, sf):
 
 
 @query("embedding_upsert", """SELECT vec_id AS id, CAST(sum(x) AS DOUBLE) AS total, label FROM (
-    SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(round(v * 1000) AS BIGINT))) * CASE WHEN label < 3 THEN 2 ELSE 1 END AS x, CASE WHEN label < 3 THEN label + 100 ELSE label END AS label FROM embeddings) GROUP BY ALL""")
+    SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(round(CAST(v AS DOUBLE) * 1000) AS BIGINT))) * CASE WHEN label < 3 THEN 2 ELSE 1 END AS x, CASE WHEN label < 3 THEN label + 100 ELSE label END AS label FROM embeddings) GROUP BY ALL""")
 def embedding_upsert(spark, sf):
     base = vector_corpus(spark, sf)
     changed = base.filter("label < 3").withColumn("label", (F.col("label") + 100).cast("int")).withColumn(
