@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .. import values as V
 from ..functions import text as T
+from ..session import stored
 from .places import seek
 
 WORDS = r"(?U)[\w가-힣]{4,}"
@@ -174,6 +179,27 @@ def _join_in_rank_order(hits: DataFrame, piece: Column, out: str) -> DataFrame:
 # -- claims ----------------------------------------------------------------------
 
 
+def walk(text: str, parts: Iterable[str]) -> list[dict]:
+    """Parts with their places in the text; short ones end the part before them."""
+    out: list[dict] = []
+    at = 0
+    for part in parts:
+        found = text.find(part, at)
+        begin = found if found >= 0 else at
+        at = begin + len(part)
+        if out and len(part) < 10:
+            out[-1] = {"text": f"{out[-1]['text']}. {part}", "start": out[-1]["start"], "end": at}
+        else:
+            out.append({"text": part, "start": begin, "end": at})
+    return out
+
+
+# One forward pass: an expression that carries the pieces so far copies them, and the rest of the text, at each.
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _walk(text: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or p is None else walk(t, p) for t, p in zip(text, parts, strict=True)])
+
+
 def claim_sentences(text: Column) -> Column:
     """Array of (text, start, end): paragraphs cut after a period that follows no digit.
 
@@ -186,26 +212,7 @@ def claim_sentences(text: Column) -> Column:
     parts = F.filter(
         F.flatten(F.transform(paras, lambda p: F.transform(F.split(p, cut), T.strip))), lambda p: p != F.lit("")
     )
-    empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
-
-    start = F.struct(empty.alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, part: Column) -> Column:
-        rest = text.substr(a["at"] + 1, F.length(text))
-        where = F.instr(rest, part)
-        begin = F.when(where > 0, a["at"] + where - 1).otherwise(a["at"])
-        end = begin + F.length(part)
-        last = F.element_at(a["out"], -1)
-        short = (F.size(a["out"]) > 0) & (F.length(part) < 10)
-        head = F.slice(a["out"], 1, F.size(a["out"]) - 1)
-        joined = F.struct(F.concat(last["text"], F.lit(". "), part).alias("text"), last["start"].alias("start"), end.alias("end"))
-        fresh = F.struct(part.alias("text"), begin.alias("start"), end.alias("end"))
-        return F.struct(
-            F.when(short, F.concat(head, F.array(joined))).otherwise(F.concat(a["out"], F.array(fresh))).alias("out"),
-            end.alias("at"),
-        )
-
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+    return _walk(text, parts)
 
 
 def claim_type(text: Column, groups: list = V.CLAIM_PATTERNS, default: str = V.CLAIM_DEFAULT) -> Column:
@@ -258,12 +265,15 @@ def locate_claims(claims: DataFrame, docs: DataFrame, key_chars: int = 30) -> Da
 
 def claim_summary(claims: DataFrame, top: int = 10) -> DataFrame:
     """Counts per type and the most frequent subjects as (kind, name, claims)."""
-    by_type = claims.groupBy(F.col("claim_type").alias("name")).agg(F.count(F.lit(1)).alias("claims")).withColumn("kind", F.lit("type"))
+    # The claims are made once; their counts are read three times.
+    counts = stored(claims.groupBy("claim_type", "subject").agg(F.count(F.lit(1)).alias("n")), "claim-counts")
+    total = F.sum("n").alias("claims")
+    by_type = counts.groupBy(F.col("claim_type").alias("name")).agg(total).withColumn("kind", F.lit("type"))
     by_subject = (
-        claims.groupBy(F.col("subject").alias("name")).agg(F.count(F.lit(1)).alias("claims"))
+        counts.groupBy(F.col("subject").alias("name")).agg(total)
         .orderBy(F.desc("claims"), "name").limit(top).withColumn("kind", F.lit("subject"))
     )
-    distinct = claims.agg(F.count_distinct("subject").alias("claims")).select(F.lit("subjects").alias("name"), "claims", F.lit("total").alias("kind"))
+    distinct = counts.agg(F.count_distinct("subject").alias("claims")).select(F.lit("subjects").alias("name"), "claims", F.lit("total").alias("kind"))
     return by_type.unionByName(by_subject).unionByName(distinct)
 
 

@@ -1,7 +1,10 @@
 """Work that grows with the input, not with its square."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from stratatext.operators import evidence as EV
 from stratatext.operators import lookup
 
 
@@ -34,3 +37,28 @@ def test_canonical_lookup_meets_equal_texts_once(spark):
     assert most_rows(got) < 20 * n  # each query met each item before: 360,000 rows
     want = {q: ((n - 5 + q % 5, 2) if q % 2 == 0 else (3, 3)) for q in range(n)}
     assert {r["query_id"]: (r["item_id"], r["how"]) for r in got.collect()} == want
+
+
+def test_claims_of_a_long_text_take_one_pass(spark):
+    """An expression that copied the pieces so far and the rest of the text took minutes."""
+    parts = [f"Sentence number {i} says little" for i in range(30_000)]
+    rows = spark.createDataFrame([(". ".join(parts),), (None,)], "t string")
+    t0 = time.time()
+    got = rows.select(F.size(EV.claim_sentences(F.col("t"))).alias("n"), F.element_at(EV.claim_sentences(F.col("t")), -1).alias("last")).collect()
+    assert time.time() - t0 < 30
+    size = len(rows.first()["t"])
+    assert (got[0]["n"], got[0]["last"]["start"], got[0]["last"]["end"]) == (len(parts), size - len(parts[-1]), size)
+    assert got[1]["last"] is None
+
+
+def test_claim_summary_makes_the_claims_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def subject(i):
+        made.add(1)
+        return f"s{i % 3}"
+
+    rows = spark.range(300).select(F.lit("value").alias("claim_type"), subject.asNondeterministic()("id").alias("subject"))
+    assert len(EV.claim_summary(rows).collect()) == 5
+    assert made.value == 300  # three times as many before
