@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratatext.functions.text import BLANK_CLASS
 from stratatext.operators import bm25
 from stratatext.operators.quotes import build_quotes
-from stratatext.session import spread, stored
+from stratatext.session import broadcast_if_small, spread, stored
 
 HEADER_RULES = [("H1", 1, "^.{1,25}$"), ("H2", 2, "^.{26,45}$"), ("H3", 3, "^.{46,65}$")]
 TYPE_RULES = [
@@ -85,13 +85,14 @@ def quote_hits(spark: SparkSession, sf: str, top: int = 8) -> tuple[DataFrame, D
     """(hits with quote attributes, quotes): BM25 top hits of the benchmark texts."""
     qs = quotes(spark, sf)
     corpus = quote_corpus(qs)
-    found = bm25.bm25_search(bm25.build_index(corpus), benchmark_queries(spark, sf), top)
+    found = stored(bm25.bm25_search(bm25.build_index(corpus), benchmark_queries(spark, sf), top), "found")
     attrs = corpus.select(
         "id", "quote_id", "doc_id", "edition_id", "type", "section_path", "text", "start_line",
         "quality_flags", "sha256", edition_order("edition_id").alias("sort_key"),
         (edition_order("edition_id") + 1979).alias("year"),
     )
-    return found.drop("ord").join(attrs, "id"), qs
+    # A few hits go to the quotes, not the quotes' texts through a shuffle.
+    return attrs.join(broadcast_if_small(found.drop("ord")), "id"), qs
 
 
 # -- SQL ------------------------------------------------------------------------

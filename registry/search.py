@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratatext.operators import blockmax, bm25, fusion, ivf, vectors
 from stratatext.operators import quotes as QT
 from stratatext.plans import search as plan
-from stratatext.session import shared_folder
+from stratatext.session import shared_folder, stored
 from stratatext.sources import keyed
 
 from . import common as C
@@ -275,7 +275,7 @@ def normalised_hits(spark, sf):
     from stratatext.plans.retrieve import normalise_hits, safe_hits
 
     qs = C.quotes(spark, sf)
-    found = bm25.bm25_search(bm25.build_index(C.quote_corpus(qs)), C.benchmark_queries(spark, sf), 8)
+    found = stored(bm25.bm25_search(bm25.build_index(C.quote_corpus(qs)), C.benchmark_queries(spark, sf), 8), "found")
     hits = normalise_hits(found.select("query_id", "rank", F.col("id").alias("quote_id"), "score"), qs).withColumn(
         "year", C.edition_order("edition_id") + 1979)
     safe = safe_hits(hits, preview_chars=40)

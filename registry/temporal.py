@@ -168,7 +168,7 @@ def edition_fallback(spark, sf):
     corpus = C.quote_corpus(C.quotes(spark, sf))
     asked = CL.resolve_edition_hint(CL.apply_policy(intents(spark, sf), POLICY), EDS)
     index = bm25.build_index(corpus, carry=["edition_id"])
-    scored = bm25.scores(index, asked.select("query_id", "text"))
+    scored = stored(bm25.scores(index, asked.select("query_id", "text"), top=6, per="edition_id"), "scores")
     return policy.fallback_search(scored, asked, 6).select("query_id", "stage", "id", "rank")
 
 
@@ -209,7 +209,7 @@ def retrieve_hybrid(spark, sf):
      SELECT * FROM (SELECT query_id, id, edition_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kind, pos) AS INT) AS rank FROM u) WHERE rank <= 5""", "d_ranked"))
 def coverage_repair(spark, sf):
     corpus = C.document_corpus(spark, sf)
-    scored = bm25.scores(bm25.build_index(corpus, carry=["edition_id"]), C.benchmark_queries(spark, sf))
+    scored = bm25.scores(bm25.build_index(corpus, carry=["edition_id"]), C.benchmark_queries(spark, sf), top=5, per="edition_id")
     scored = stored(scored, "scores")
     hits = bm25.top_k(scored, 5)
     from pyspark.sql import Window

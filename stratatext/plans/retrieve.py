@@ -12,7 +12,7 @@ from ..operators import bm25 as B
 from ..operators import fusion as FU
 from ..operators import policy as P
 from ..operators import vectors as VS
-from ..session import stored
+from ..session import broadcast_if_small, stored
 
 
 def normalise_hits(hits: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def normalise_hits(hits: DataFrame, quotes: DataFrame) -> DataFrame:
     attrs = quotes.select(
         "quote_id", "edition_id", "type", "section_path", "char_start", "char_end", "sha256", "text", "quality_flags"
     )
+    # The few quotes that were hit, not all texts, meet the hits.
+    attrs = attrs.join(broadcast_if_small(hits.select("quote_id").distinct()), "quote_id", "left_semi")
     year = F.regexp_extract("edition_id", r"^(\d{4})", 1)
     return hits.join(attrs, "quote_id", "left").select(
         "query_id",
@@ -94,9 +96,11 @@ def retrieve(
     )
     searched = stages.select("query_id", "stage", "edition_id").unionByName(wanted)
 
-    scored = B.scores(index, asked.select("query_id", "text"))
-    if "edition_id" not in index.keys:
-        scored = scored.join(edition_of, "id")
+    # A stage asks for one edition or for all, so the best of each edition hold all hits.
+    if "edition_id" in index.keys:
+        scored = B.scores(index, asked.select("query_id", "text"), top=side_k, per="edition_id")
+    else:
+        scored = B.scores(index, asked.select("query_id", "text")).join(edition_of, "id")
     by_stage = Window.partitionBy("query_id", "stage")
     keyword = (
         P.candidates_by_stage(scored, searched)

@@ -1,11 +1,16 @@
 """Work that grows with the input, not with its square."""
 
+import random
+import re
 import time
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
+from stratatext.functions.text import BLANKS
+from stratatext.operators import bm25, lookup
 from stratatext.operators import evidence as EV
-from stratatext.operators import lookup
 
 
 def most_rows(df):
@@ -62,3 +67,42 @@ def test_claim_summary_makes_the_claims_once(spark):
     rows = spark.range(300).select(F.lit("value").alias("claim_type"), subject.asNondeterministic()("id").alias("subject"))
     assert len(EV.claim_summary(rows).collect()) == 5
     assert made.value == 300  # three times as many before
+
+
+def some_corpus(spark, n=300):
+    """Words, blanks of all kinds between them, copies, null and empty texts, two groups and none."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["the"] * 9
+    rows = []
+    for i in range(n):
+        text = "".join(rnd.choice(words) + rnd.choice(BLANKS) for _ in range(rnd.randint(0, 30)))
+        rows.append((f"d{i}", (i // 3, -i), {0: None, 1: ""}.get(i, rows[-1][2] if i % 4 == 3 else text), ["x", "y", None][i % 3], 1 + i % 2))
+    return spark.createDataFrame(rows, "id string, ord struct<a:int,b:int>, text string, edition string, times int")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_QUERIES": 2, "TILE_SCORES": 40, "TILE_MATCHES": 50, "TILE_CHARS": 100}])
+def test_scores_of_texts_equal_those_of_postings(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(bm25, name, value)
+    corpus = some_corpus(spark).repartition(3)
+    index = bm25.build_index(corpus, F.col("times"), carry=["edition"])
+    asked = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["w1 w2 w1", "the", "w3 unseen", "unseen", "", None, "w4 w5 w6 w7 the the"])], "query_id string, text string")
+    whole = bm25.scores(replace(index, texts=None), asked)
+    assert sorted(map(repr, bm25.scores(index, asked).collect())) == sorted(map(repr, whole.collect()))
+    for k in (1, 4):
+        best = lambda df: sorted(map(repr, bm25.top_k(df, k).collect()))
+        assert best(bm25.scores(index, asked, top=k)) == best(whole)
+        each = bm25.scores(index, asked, top=k, per="edition")
+        for part in ("edition = 'x'", "edition = 'y'", "edition is null", "true"):
+            assert best(each.where(part)) == best(whole.where(part))
+
+
+def test_search_shuffles_no_postings(spark):
+    corpus = spark.range(400).select(F.col("id"), F.col("id").alias("ord"), F.concat_ws(" ", F.array_repeat(F.lit("common"), 5), F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (i * 7 + F.col("id")).cast("string")))).alias("text"))
+    asked = spark.createDataFrame([(i, f"common w{i}") for i in range(50)], "query_id long, text string")
+    assert most_rows(bm25.bm25_search(bm25.build_index(corpus), asked, 3)) < 10_000  # 24,400 postings before
+
+
+def test_tokens_are_split_alike(spark):
+    """Python's blanks are those of the tokens."""
+    assert "".join(map(chr, range(0x11000))).split() == [w for w in re.split(f"[{re.escape(BLANKS)}]+", "".join(map(chr, range(0x11000)))) if w]
