@@ -1,5 +1,6 @@
 """Work that grows with the input, not with its square."""
 
+import difflib
 import random
 import re
 import time
@@ -106,3 +107,23 @@ def test_search_shuffles_no_postings(spark):
 def test_tokens_are_split_alike(spark):
     """Python's blanks are those of the tokens."""
     assert "".join(map(chr, range(0x11000))).split() == [w for w in re.split(f"[{re.escape(BLANKS)}]+", "".join(map(chr, range(0x11000)))) if w]
+
+
+def test_many_passages_are_met_in_blocks_without_the_salted_join(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("pairs of queries and texts would be shuffled")
+
+    monkeypatch.setattr(bm25, "_join_on_terms", never)
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 4)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = [" ".join(word() for _ in range(12)) for _ in range(40)]
+    texts[7] = texts[8]
+    quotes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, ord long, text string")
+    asked = {i: texts[i] if i % 3 == 0 else " ".join(texts[i].split()[:9][::-1] + [word()]) for i in range(20)}
+    got = lookup.find_passages(bm25.build_index(quotes), quotes, spark.createDataFrame(list(asked.items()), "query_id long, text string"), 0.0, 2).collect()
+    assert {r["query_id"] for r in got} == set(asked)
+    assert sum(r["how"] == "exact" for r in got) == 7
+    for r in got:
+        blocks = difflib.SequenceMatcher(None, asked[r["query_id"]], texts[r["id"]]).get_matching_blocks()
+        assert r["score"] == sum(b.size for b in blocks) / len(asked[r["query_id"]])
