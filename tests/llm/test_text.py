@@ -311,6 +311,19 @@ def test_passages_in_chains_and_twos(spark):
     assert not [p for p in want - rows if not (near[p[0]] & near[p[1]])]
 
 
+def test_changed_forms_of_a_passage_are_paired(spark):
+    """Forms that each differ from the smallest document's, and by as much from one another."""
+    one = words(2600, 60).split()
+    texts = []
+    for i in range(7):
+        form = " ".join([*one[:30], f"form{i}", *one[31:]])
+        texts.append((40 + i, f"{words(2610 + i, 12)} {form} {words(2630 + i, 12)}"))
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in texts], COLUMNS)
+    rows = {(r["doc_id"], r["other_id"]) for r in passages.near_passages(df).collect()}
+    want = plain_passages(texts)
+    assert len(want) == 21 and rows == want
+
+
 def test_near_stretches_share_a_key():
     missed = 0
     for i in range(500):
