@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratatext.llm.common import WordHashes, drop, mix, per_process, save, shingles, texts, words_of
-from stratatext.llm.seen import filter_bits, maybe_repeated, twice_seen
+from stratatext.llm.seen import filter_bits, id_filter, maybe_among, maybe_repeated, mixed_ids, twice_seen
 from stratatext.session import broadcast_if_small
 
 HALF = 3
@@ -294,13 +294,18 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``doc_id, values``: the shingle sets of the rows whose doc_id is an ``id`` of ``wanted``."""
-    rows = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi")
+    """``doc_id, values``: the shingle sets of the rows whose doc_id is an ``id`` of ``wanted``.
+
+    A few other rows have theirs made as well: a filter picks the rows where they are
+    read, since a join would shuffle the texts of all.
+    """
+    seen = id_filter(wanted)
     schema = pa.schema([("doc_id", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_process("word hashes", WordHashes)
         for batch in batches:
+            batch = batch.filter(pa.array(maybe_repeated(seen.value, mixed_ids(batch.column(0)))))
             values = [shingle_set(known.of(words_of(t.as_py())), size).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], schema=schema)
 
@@ -369,4 +374,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` without the documents whose group keeps another one; columns stay."""
     gone, _ = save(near_duplicates(docs, size).where("not kept").select(F.col("doc_id").alias("_doc")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left_anti")
+    # Only texts that may have to go meet the list in a join.
+    maybe = maybe_among(F.col("doc_id").cast("long"), id_filter(gone))
+    doubtful = docs.where(maybe)
+    return docs.where(~maybe).union(doubtful.join(gone, doubtful["doc_id"].cast("long") == gone["_doc"], "left_anti"))
