@@ -49,6 +49,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read(spark, sf, "documents").select("doc_id", F.col("source").alias("edition_id"), "text"), "doc_id")
 
 
+def written_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that have a text: what the SQL calls ``docs``."""
+    return docs(spark, sf).filter("text <> ''")
+
+
 def edition_order(col) -> "F.Column":
     return F.regexp_extract(col, "([0-9]+)", 1).cast("int")
 
