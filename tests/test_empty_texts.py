@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stratatext.operators import quality as QL
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +32,15 @@ def test_toc_flat_leaves_empty_texts_out(spark, tables):
 
 def test_toc_section_counts_leave_empty_texts_out(spark, tables):
     same_as_sql(spark, tables, "toc_section_counts")
+
+
+def test_health_checks_allow_empty_texts_in_the_raw_table(spark, tables):
+    same_as_sql(spark, tables, "health_checks")
+
+
+def test_health_checks_of_a_collection_fail_on_empty_texts(spark):
+    docs = spark.createDataFrame([(i, "" if i == 3 else "a") for i in range(12)], "doc_id long, text string")
+    toc = spark.createDataFrame([("e", "H1")], "edition_id string, level string")
+    quotes = spark.createDataFrame([("q", "h", "definition")], "quote_id string, sha256 string, type string")
+    rows = {r["check"]: (r["status"], r["summary"]) for r in QL.health_checks(docs, toc, quotes).collect()}
+    assert rows["docs"] == ("FAIL", "empty texts") and rows["EXIT"][0] == "FAIL"
