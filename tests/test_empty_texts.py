@@ -38,6 +38,10 @@ def test_health_checks_allow_empty_texts_in_the_raw_table(spark, tables):
     same_as_sql(spark, tables, "health_checks")
 
 
+def test_stream_ingest_keeps_refused_texts(spark, tables):
+    same_as_sql(spark, tables, "stream_ingest")
+
+
 def test_health_checks_of_a_collection_fail_on_empty_texts(spark):
     docs = spark.createDataFrame([(i, "" if i == 3 else "a") for i in range(12)], "doc_id long, text string")
     toc = spark.createDataFrame([("e", "H1")], "edition_id string, level string")
