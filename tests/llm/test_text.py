@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from stratatext.llm import bpe, decontaminate, lines, minhash, passages, quality, rans, suffixes
@@ -363,3 +364,23 @@ def test_components_by_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(3, 27)], "a long, b long")
     want = {i: 0 if i < 10 or 20 <= i < 30 else i // 10 * 10 for i in range(41)}
     assert {r["id"]: r["comp"] for r in minhash.components(links).collect()} == {k: v for k, v in want.items() if k < 40}
+
+
+def test_tokens_of_many_texts_are_those_of_each():
+    texts = [" A-b\tC!  \x0b\x0c!!! \u00e9\x1cX \x85 y\n", "", "  ", "...", "\u00c4B\u2019 \u201cq\u201d", "a b a-b (A) b", "a"]
+    hashes, size = decontaminate.all_token_hashes(pa.array(texts))
+    each = [decontaminate.tokens(t) for t in texts]
+    assert size.tolist() == [len(ts) for ts in each]
+    flat = [t for ts in each for t in ts]
+    assert len(hashes) == len(flat)
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+    assert [decontaminate.token_hashes(t).tolist() for t in texts] == [h.tolist() for h in np.split(hashes, np.cumsum(size)[:-1])]
+
+
+def test_seeds_do_not_cross_from_one_text_to_the_next(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(words[:6])), (2, " ".join(words[6:])), (3, ""), (4, "x " + " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    found = decontaminate.overlaps(df, bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_equal"], r["at"]) for r in found] == [(4, 7, 12, 1)]
